@@ -174,3 +174,50 @@ def per_document(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sums of x over each document's part, for parts that may be empty."""
     total = np.concatenate([np.zeros(1, x.dtype), np.cumsum(x)])
     return total[at[1:]] - total[at[:-1]]
+
+
+def distinct_words(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct word in ``w``, and each word's number among them."""
+    _, place, number = np.unique(w.hash, return_index=True, return_inverse=True)
+    return place, number
+
+
+def substring_hashes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums over a matrix of bytes, from which :func:`piece_hash` takes any substring's hash."""
+    up, _ = _powers(rows.shape[1] + 1)
+    total = np.zeros((rows.shape[0], rows.shape[1] + 1), U64)
+    np.cumsum(_VALUE[rows] * up[: rows.shape[1]], axis=1, out=total[:, 1:])
+    return total, rows
+
+
+def piece_hash(total: np.ndarray, start: int, stop: int) -> np.ndarray:
+    """The hash of bytes start..stop of each row."""
+    _, down = _powers(total.shape[1])
+    return mix((total[:, stop] - total[:, start]) * down[start] ^ U64((stop - start) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
+
+
+def bytes_hash(piece: bytes) -> int:
+    total, _ = substring_hashes(np.frombuffer(piece, np.uint8)[None, :])
+    return int(piece_hash(total, 0, len(piece))[0])
+
+
+def crc_fold(column, folds: int):
+    """crc32 of the id as text, modulo ``folds``."""
+    from pyspark.sql import functions as F
+
+    return F.crc32(column.cast("string").cast("binary")) % folds
+
+
+def sample_texts(rows, per_class: int) -> list[tuple[str, str]]:
+    """(class, text) of at most ``per_class`` rows of each class, chosen by a hash of the id.
+
+    ``rows`` has id, label and text; the limit is applied in each task before
+    rows meet, so a class may hold any share of them.
+    """
+    from pyspark.sql import Window, functions as F
+
+    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
+    ids = rows.select("id", "label").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_class).select("id").distinct()
+    ids = [r["id"] for r in ids.collect()]
+    picked = rows.where(F.col("id").isin(ids)) if ids else rows.limit(0)
+    return sorted(((str(r["label"]), r["text"]) for r in picked.select("label", "text").toLocalIterator()))

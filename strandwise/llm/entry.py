@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, host_reputation, suffix_decontam
+from . import exact_dedup, host_reputation, lang_id, secret_scan, suffix_decontam
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(secret_scan.find(table(spark, sf_dir, "documents")))
+
+
+def op6_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.report(table(spark, sf_dir, "documents"))
+
+
 def op7_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is the quality label that carries its id."""
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
@@ -29,7 +37,7 @@ def op10_suffix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op7_host_reputation, op10_suffix_decontam)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_secret_scan, op6_lang_id, op7_host_reputation, op10_suffix_decontam)}
 
 
 def oracle_sql() -> dict[str, str]:
