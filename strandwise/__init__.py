@@ -1,0 +1,16 @@
+"""Sequence-graph analytics on Spark, with operators for training-data pipelines."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import SparkSession
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Lets Python workers on this machine find the package; clusters take it by --py-files."""
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if here not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([here, *filter(None, paths)])
+    return spark
