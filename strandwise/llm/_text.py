@@ -221,3 +221,18 @@ def sample_texts(rows, per_class: int) -> list[tuple[str, str]]:
     ids = [r["id"] for r in ids.collect()]
     picked = rows.where(F.col("id").isin(ids)) if ids else rows.limit(0)
     return sorted(((str(r["label"]), r["text"]) for r in picked.select("label", "text").toLocalIterator()))
+
+
+def segment_hashes(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes between consecutive bounds, which cover all of the data."""
+    out = np.empty(len(bounds) - 1, U64)
+    i = 0
+    while i < len(out):
+        j = min(len(out), max(i + 1, int(np.searchsorted(bounds, bounds[i] + BLOCK, "right")) - 1))
+        s, e = bounds[i:j] - bounds[i], bounds[i + 1 : j + 1] - bounds[i]
+        up, down = _powers(int(e[-1]) + 1)
+        v = _VALUE[data[bounds[i] : bounds[j]]] * up[: e[-1]]
+        total = np.concatenate([np.zeros(1, U64), np.cumsum(v)])
+        out[i:j] = mix((total[e] - total[s]) * down[s] ^ ((e - s).astype(U64) * U64(0xD6E8FEB86659FD93)))
+        i = j
+    return out

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, host_reputation, lang_id, secret_scan, suffix_decontam
+from . import dac, exact_dedup, host_reputation, lang_id, secret_scan, suffix_decontam, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.find(table(spark, sf_dir, "documents")))
 
 
+def op4_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dac.report(table(spark, sf_dir, "documents"))
+
+
 def op6_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.report(table(spark, sf_dir, "documents"))
 
@@ -31,13 +35,17 @@ def op7_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_reputation.judge(table(spark, sf_dir, "pages"), outcomes).drop("bound")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_suffix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return suffix_decontam.report(found)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_secret_scan, op6_lang_id, op7_host_reputation, op10_suffix_decontam)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_secret_scan, op4_dac, op6_lang_id, op7_host_reputation, op9_toxicity, op10_suffix_decontam)}
 
 
 def oracle_sql() -> dict[str, str]:
