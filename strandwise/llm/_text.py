@@ -19,7 +19,7 @@ U64 = np.uint64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """The splitmix64 finaliser."""
+    """The splitmix64 finaliser, of an array (numpy warns of wrapping scalars)."""
     x = x ^ (x >> U64(30))
     x = x * U64(0xBF58476D1CE4E5B9)
     x ^= x >> U64(27)
@@ -166,7 +166,7 @@ def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
         out[pos] = mix(full[pos + first])
     for d in np.flatnonzero(short):
         own = w.hash[w.doc_at[d] : w.doc_at[d + 1]]
-        out[at[d]] = mix((own * _STEP[: len(own)]).sum(dtype=U64) + U64(len(own)) * _STEP[60])[()] if len(own) else 0
+        out[at[d] : at[d] + 1] = mix((own * _STEP[: len(own)]).sum(dtype=U64, keepdims=True) + np.array([len(own)], U64) * _STEP[60:61])
     return out, at
 
 
@@ -193,7 +193,7 @@ def substring_hashes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def piece_hash(total: np.ndarray, start: int, stop: int) -> np.ndarray:
     """The hash of bytes start..stop of each row."""
     _, down = _powers(total.shape[1])
-    return mix((total[:, stop] - total[:, start]) * down[start] ^ U64((stop - start) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
+    return mix((total[:, stop] - total[:, start]) * down[start : start + 1] ^ U64((stop - start) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
 
 
 def bytes_hash(piece: bytes) -> int:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import dac, exact_dedup, host_reputation, lang_id, secret_scan, suffix_decontam, toxicity
+from . import dac, exact_dedup, host_reputation, lang_id, partenum, secret_scan, suffix_decontam, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.report(table(spark, sf_dir, "documents"))
 
 
+def op5_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.report(table(spark, sf_dir, "documents"))
+
+
 def op6_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.report(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_suffix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_secret_scan, op4_dac, op6_lang_id, op7_host_reputation, op9_toxicity, op10_suffix_decontam)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_secret_scan, op4_dac, op5_partenum, op6_lang_id, op7_host_reputation, op9_toxicity, op10_suffix_decontam)}
 
 
 def oracle_sql() -> dict[str, str]:
