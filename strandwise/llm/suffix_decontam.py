@@ -219,13 +219,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.set_column(at, "hits", pa.array(hits, pa.list_(pa.int32())))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: id, n_words, hits (word runs), items, and the longest verbatim match with its place.
-
-    The benchmark, a query set, goes to every task in blocks of at most
-    ``block_bytes`` (or one longer item); the documents are searched once for
-    each block and the blocks' findings are united by document.
-    """
+def blocks_of(benchmark: DataFrame, item_id: str, item_text: str, block_bytes: int) -> list[list[tuple]]:
     rows = benchmark.select(F.col(item_id).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t")).toLocalIterator()
     blocks: list[list[tuple]] = [[]]
     size = 0
@@ -235,6 +229,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
             size = 0
         blocks[-1].append((i, t))
         size += len(t) * 4
+    return blocks
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per document: id, n_words, hits (word runs), items, and the longest verbatim match with its place.
+
+    The benchmark, a query set, goes to every task in blocks of at most
+    ``block_bytes`` (or one longer item); the documents are searched once for
+    each block and the blocks' findings are united by document.
+    """
+    blocks = blocks_of(benchmark, item_id, item_text, block_bytes)
     own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     schema = OUT.format(id=own.schema["id"].dataType.simpleString())
     if len(blocks) == 1:
@@ -271,8 +276,21 @@ def report(found: DataFrame) -> DataFrame:
     )
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10, **columns) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents in which no window of the benchmark occurs, with all their columns."""
-    own = docs.select(F.struct(*docs.columns).alias("doc_id"), F.col(columns.pop("text", "text")).alias("text"))
-    kept = matches(own, benchmark, window=window, **columns).where(F.size("hits") == 0)
-    return kept.select("id.*")
+    at = docs.columns.index(text)
+
+    def clean(block: Probe):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, off = text_bytes(batch.column(at))
+                for i, j in spans(off, shard_bytes):
+                    w = words(data[off[i] : off[j]], off[i : j + 1] - off[i], ALNUM)
+                    hit = per_document(scan(w, block, window)["hit"].astype(np.int64), w.doc_at)
+                    yield batch.slice(i, j - i).filter(pa.array(hit == 0))
+
+        return run
+
+    for rows in blocks_of(benchmark, item_id, item_text, block_bytes):
+        docs = docs.mapInArrow(clean(probe(rows, window)), docs.schema)
+    return docs

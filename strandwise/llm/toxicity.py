@@ -134,21 +134,26 @@ def train(sample: list[tuple[str, str]], steps: int = STEPS, epochs: int = EPOCH
     return Model(fold, known, float(bias[1] - bias[0]))
 
 
+def scores(model: Model, texts: pa.Array) -> np.ndarray:
+    data, off = text_bytes(texts)
+    out = [np.zeros(0)]
+    for i, j in spans(off, SLICE_BYTES):
+        mine = data[off[i] : off[j]]
+        w = words(mine, off[i : j + 1] - off[i], ALNUM)
+        place, number = distinct_words(w)
+        of_word = np.zeros(len(place))
+        for some, buckets in grams(mine, w, place):
+            of_word[some] = model.fold[buckets].mean(1)
+        many = np.diff(w.doc_at)
+        odds = per_document(of_word[number], w.doc_at) / np.maximum(many, 1) + model.bias
+        out.append(np.zeros(j - i) if model.empty else 1 / (1 + np.exp(-np.clip(odds, -500, 500))))
+    return np.concatenate(out)
+
+
 def _scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = text_bytes(batch.column(1))
-            for i, j in spans(off, SLICE_BYTES):
-                mine = data[off[i] : off[j]]
-                w = words(mine, off[i : j + 1] - off[i], ALNUM)
-                place, number = distinct_words(w)
-                of_word = np.zeros(len(place))
-                for some, buckets in grams(mine, w, place):
-                    of_word[some] = model.fold[buckets].mean(1)
-                many = np.diff(w.doc_at)
-                odds = per_document(of_word[number], w.doc_at) / np.maximum(many, 1) + model.bias
-                score = np.zeros(j - i) if model.empty else 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(score)], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(model, batch.column(1)))], names=["id", "score"])
 
     return run
 
@@ -185,7 +190,12 @@ def report(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0
     return found.select(F.col("id").alias("doc_id"), fold.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def remove(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+def remove(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
     """The documents that score below ``least``, with all their columns."""
-    whole = docs.select(F.struct(*docs.columns).alias("doc_id"), F.col("text").alias("text"))
-    return score(whole, model).where(F.col("score") < least).select("id.*")
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scores(model, batch.column(at)) < least))
+
+    return docs.mapInArrow(run, docs.schema)
