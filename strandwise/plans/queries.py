@@ -1,6 +1,226 @@
-"""Named queries over the derived reads, with the DuckDB SQL that checks them."""
+"""Named queries over the derived reads, with the DuckDB SQL that checks them.
+
+Reads are the letters A, C, G and T of each document's text.  Queries that
+print hashes use k = 15, the others k = 21; w = 10.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import hashing, sequence as S
+from ..operators import alignment, graph, kmers, reads as R, stats
+from ..sources import sinks
+from . import oracles as O
+
+K, K15, W = 21, 15, 10
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def letters(spark: SparkSession, sf_dir: str, table: str = "documents", key: str = "doc_id") -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return rows.select(F.col(key).alias("read_id"), F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^ACGTacgt]", "")).alias("seq"))
+
+
+def kept(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
+    return R.long_enough(letters(spark, sf_dir), k, W)
+
+
+#: Graphs built in this session, by path and k; their edges are checkpointed.  bench.py empties it before each query.
+BUILT: dict[tuple, graph.Graph] = {}
+
+
+def built(spark: SparkSession, sf_dir: str, k: int = K) -> graph.Graph:
+    key = (spark.sparkContext.applicationId, sf_dir, k)
+    if key not in BUILT:
+        BUILT[key] = graph.build(letters(spark, sf_dir), k, W)
+    return BUILT[key]
+
+
+@query(f"WITH {O.reads(K, W)} SELECT read_id, length(seq)::BIGINT AS len FROM own")
+def reads_filter(spark, sf_dir):
+    return kept(spark, sf_dir).select("read_id", F.length("seq").cast("long").alias("len"))
+
+
+@query(f"""WITH {O.reads(K, W)}, c AS (SELECT *, length(seq) AS n, CASE WHEN length(seq) <= {20 * (K + W)} THEN 0 ELSE (length(seq) - {20 * (K + W)}) // {16 * (K + W)} END AS last FROM reads)
+SELECT read_id, (i * {16 * (K + W)})::BIGINT AS start, CASE WHEN i = last THEN substr(seq, i * {16 * (K + W)} + 1) ELSE substr(seq, i * {16 * (K + W)} + 1, {20 * (K + W)}) END AS seq FROM c, unnest(range(0, last + 1)) AS t(i)""")
+def read_chunks(spark, sf_dir):
+    return R.chunks(letters(spark, sf_dir), K, W)
+
+
+@query(f"WITH {O.reads(K, W)} SELECT read_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(seq, 'A+', 'A', 'g'), 'C+', 'C', 'g'), 'G+', 'G', 'g'), 'T+', 'T', 'g') AS seq FROM reads")
+def homopolymer(spark, sf_dir):
+    return R.normalised(letters(spark, sf_dir), compress=True).select("read_id", "seq")
+
+
+@query(f"WITH {O.reads(K, W)} SELECT read_id, {O.rc('seq')} AS seq FROM reads")
+def revcomp(spark, sf_dir):
+    return letters(spark, sf_dir).select("read_id", S.revcomp("seq").alias("seq"))
+
+
+@query(f"WITH {O.reads(K, W)} SELECT substr(seq, i, {K}) AS kmer, count(*) AS cnt FROM own, unnest(range(1, length(seq) - {K} + 2)) AS t(i) GROUP BY 1")
+def kmer_counts(spark, sf_dir):
+    return kmers.kmer_counts(kept(spark, sf_dir), K)
+
+
+@query(f"WITH {O.reads(K15, W)}, x AS (SELECT substr(seq, i, {K15}) AS s FROM own, unnest(range(1, length(seq) - {K15} + 2)) AS t(i)) SELECT least(s, {O.rc('s')}) AS kmer, count(*) AS cnt FROM x GROUP BY 1")
+def canonical_kmers(spark, sf_dir):
+    return kmers.canonical_kmers(kept(spark, sf_dir, K15), K15)
+
+
+@query(f"WITH {O.kp1(K, W)} SELECT km, src, dst, cnt FROM kp1")
+def kp1_counts(spark, sf_dir):
+    return kmers.kp1_counts(kept(spark, sf_dir), K)
+
+
+_H = "list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(translate({0}, 'ACGT', '0123'), ''), lambda x: x::HUGEINT)), lambda a, x: a * 239 + x)"
+
+
+@query(f"""WITH {O.reads(K15, W)}, x AS (SELECT DISTINCT substr(seq, i, {K15}) AS kmer FROM own, unnest(range(1, length(seq) - {K15} + 2)) AS t(i)),
+h AS (SELECT kmer, {_H.format('kmer')} AS f, {_H.format(O.rc('kmer'))} AS r FROM x)
+SELECT kmer, f::VARCHAR AS fhash, r::VARCHAR AS rhash, least(f, r)::VARCHAR AS hash, f < r AS is_canonical FROM h""")
+def kmer_hash(spark, sf_dir):
+    return kmers.kmer_hashes(kept(spark, sf_dir, K15), K15)
+
+
+_MIN = f"""{O.reads(K15, W)}, x AS (SELECT read_id, i - 1 AS pos, substr(seq, i, {K15}) AS s FROM own, unnest(range(1, length(seq) - {K15} + 2)) AS t(i)),
+m AS (SELECT read_id, pos, min(least(s, {O.rc('s')})) OVER (PARTITION BY read_id ORDER BY pos ROWS BETWEEN {W} PRECEDING AND CURRENT ROW) AS kmer FROM x),
+n AS (SELECT *, lag(kmer) OVER (PARTITION BY read_id ORDER BY pos) AS b FROM m WHERE pos >= {W - 1}), mins AS (SELECT read_id, pos::INTEGER AS pos, kmer FROM n WHERE b IS NULL OR b <> kmer)"""
+
+
+@query(f"WITH {_MIN} SELECT read_id, pos, kmer FROM mins")
+def minimizers(spark, sf_dir):
+    return kmers.minimizers(letters(spark, sf_dir), K15, W)
+
+
+@query(f"WITH {_MIN} SELECT DISTINCT kmer FROM mins")
+def minimizer_set(spark, sf_dir):
+    return kmers.minimizer_set(letters(spark, sf_dir), K15, W)
+
+
+@query(f"WITH {O.kp1(K, W)} SELECT v, out_deg, in_deg, out_deg <> 1 OR in_deg <> 1 AS is_junction FROM deg")
+def vertex_degrees(spark, sf_dir):
+    return kmers.degrees(kept(spark, sf_dir), K)
+
+
+@query(f"WITH {O.kp1(K, W)} SELECT v, out_deg, in_deg FROM junc")
+def junctions(spark, sf_dir):
+    return kmers.junctions(kept(spark, sf_dir), K).select("v", "out_deg", "in_deg")
+
+
+@query(f"WITH RECURSIVE {O.edges(K, W)} SELECT start, stop, text, size, cov FROM edges")
+def unitigs(spark, sf_dir):
+    g = built(spark, sf_dir)
+    return g.edges.where("NOT is_cycle").select("start", "stop", F.concat("start", "seq").alias("text"), "size", "cov")
+
+
+@query(f"""WITH RECURSIVE {O.edges(K, W)}, on_edges AS (SELECT DISTINCT substr(text, i + 1, {K + 1}) AS km FROM edges, unnest(range(0, size)) AS t(i)),
+ring AS (SELECT * FROM kp1 WHERE km NOT IN (SELECT km FROM on_edges)),
+go AS (SELECT src AS s, dst AS cur, src AS low, 1::BIGINT AS size, cnt::BIGINT AS cov FROM ring UNION ALL
+  SELECT s, dst, least(low, src), size + 1, cov + cnt FROM go JOIN ring ON src = cur WHERE cur <> s)
+SELECT DISTINCT low AS lowest, size, cov FROM go WHERE cur = s""")
+def cycles(spark, sf_dir):
+    """Junction-free cycles: the least k-mer text, the number of (k+1)-mers, their occurrences."""
+    g = built(spark, sf_dir)
+    text = F.concat("start", "seq")
+    low = F.array_min(F.transform(F.sequence(F.lit(1), F.col("size").cast("int")), lambda i: F.substring(text, i, F.lit(K))))
+    return g.edges.where("is_cycle").select(low.alias("lowest"), "size", "cov")
+
+
+@query(f"WITH RECURSIVE {O.hashed(K15, W)} SELECT edge_id, is_canonical, cov, size, cov / size AS coverage FROM ids")
+def edge_coverage(spark, sf_dir):
+    g = _linear(built(spark, sf_dir, K15))
+    return graph.named(g).select("edge_id", "is_canonical", "cov", "size", (F.col("cov") / F.col("size")).alias("coverage"))
+
+
+def _linear(g: graph.Graph) -> graph.Graph:
+    """Without junction-free cycles, which the SQL's walk leaves out."""
+    return g._replace(edges=g.edges.where("NOT is_cycle"))
+
+
+@query(f"WITH RECURSIVE {O.hashed(K15, W)} SELECT edge_id, text, cov AS kc FROM ids WHERE is_canonical")
+def gfa_segments(spark, sf_dir):
+    return sinks.gfa_segments(_linear(built(spark, sf_dir, K15)))
+
+
+@query(f"""WITH RECURSIVE {O.hashed(K15, W)}
+SELECT a.edge_id AS from_id, CASE WHEN a.is_canonical AND a.text <> a.twin THEN '+' ELSE '-' END AS from_sign, b.edge_id AS to_id, CASE WHEN b.is_canonical THEN '+' ELSE '-' END AS to_sign, '{K15}M' AS overlap
+FROM ids a JOIN ids b ON a.stop = b.start WHERE b.start_canon""")
+def gfa_links(spark, sf_dir):
+    return sinks.gfa_links(_linear(built(spark, sf_dir, K15)))
+
+
+_SHOW = "CASE {0}_hash WHEN '0' THEN '' ELSE {0}_hash END || CASE WHEN {0}_canon THEN '1' ELSE '0' END"
+_G = "printf('%g', cov / size)"
+
+
+@query(f"WITH RECURSIVE {O.hashed(K15, W)} SELECT edge_id, {_SHOW.format('start')} || '_' || {_SHOW.format('stop')} || '_' || size || '_' || {_G} AS body, text FROM ids")
+def fasta_edges(spark, sf_dir):
+    return sinks.fasta_edges(_linear(built(spark, sf_dir, K15)))
+
+
+_DOT = "CASE WHEN {0}_canon THEN '' ELSE '-' END || ({0}_hash::HUGEINT % 100000)::VARCHAR"
+
+
+@query(f"WITH RECURSIVE {O.hashed(K15, W)} SELECT {_DOT.format('start')} AS tail, {_DOT.format('stop')} AS head, size || '(' || {_G} || ')' AS label FROM ids")
+def dot_edges(spark, sf_dir):
+    return sinks.dot_edges(_linear(built(spark, sf_dir, K15)))
+
+
+@query(f"""WITH RECURSIVE {O.edges(K, W)}, vs AS (SELECT v, count(*) FILTER (d = 'o') AS o, count(*) FILTER (d = 'i') AS i FROM (SELECT start AS v, 'o' AS d FROM edges UNION ALL SELECT stop, 'i' FROM edges) GROUP BY v),
+pairs AS (SELECT * FROM vs WHERE v < {O.rc('v')}),
+iso AS (SELECT DISTINCT least(text, twin) AS t, size FROM edges WHERE start IN (SELECT v FROM vs WHERE o = 1 AND i = 0) AND stop IN (SELECT v FROM vs WHERE i = 1 AND o = 0))
+SELECT (SELECT count(*) // 2 FROM edges) AS edges, (SELECT sum(size)::BIGINT FROM edges) AS directed_size, (SELECT count(*) FROM pairs) AS vertices,
+ (SELECT count(*) FROM pairs WHERE o + i = 1) AS ends, (SELECT count(*) FROM pairs WHERE o = 1 AND i = 1) AS unbranching, (SELECT count(*) FROM iso) AS isolated_edges, (SELECT coalesce(sum(size), 0)::BIGINT FROM iso) AS isolated_size""")
+def graph_stats(spark, sf_dir):
+    g = _linear(built(spark, sf_dir))
+    return stats.graph_stats(g._replace(vertices=graph.vertices_of(g.edges)))
+
+
+_VS = f"{O.edges(K, W)}, vs AS (SELECT v, count(*) FILTER (d = 'o') AS o, count(*) FILTER (d = 'i') AS i FROM (SELECT start AS v, 'o' AS d FROM edges UNION ALL SELECT stop, 'i' FROM edges) GROUP BY v)"
+
+
+@query(f"WITH RECURSIVE {_VS} SELECT least(d, 9) AS degree, count(*) AS cnt FROM (SELECT unnest([o, i]) AS d FROM vs WHERE v < {O.rc('v')}) GROUP BY 1")
+def degree_hist(spark, sf_dir):
+    g = _linear(built(spark, sf_dir))
+    return stats.degree_histogram(g._replace(vertices=graph.vertices_of(g.edges)))
+
+
+@query(f"WITH RECURSIVE {_VS} SELECT least(o, 4) AS out_deg, least(i, 4) AS in_deg, count(*) AS cnt FROM vs GROUP BY 1, 2")
+def inout_matrix(spark, sf_dir):
+    g = _linear(built(spark, sf_dir))
+    return stats.inout_matrix(g._replace(vertices=graph.vertices_of(g.edges)))
+
+
+@query(f"WITH RECURSIVE {O.edges(K, W)} SELECT least(cov // size, 99) AS coverage, least(size // 50, 29) AS size_bin, count(*) AS cnt, sum(size)::BIGINT AS total_size FROM edges GROUP BY 1, 2")
+def coverage_hist(spark, sf_dir):
+    return stats.coverage_histogram(_linear(built(spark, sf_dir)))
+
+
+@query(f'WITH RECURSIVE {O.aligned(K, W)} SELECT read_id, strand, idx::INTEGER AS idx, start, base, "left", "right", pos FROM aln')
+def read_alignments(spark, sf_dir):
+    g = _linear(built(spark, sf_dir))
+    return alignment.align_reads(g, letters(spark, sf_dir), W)
+
+
+@query(f"WITH RECURSIVE {O.aligned(K, W)} SELECT CASE strand WHEN '+' THEN read_id::VARCHAR ELSE '-' || read_id END AS name, first(start ORDER BY idx) AS first, string_agg(base, '' ORDER BY idx) AS path FROM aln GROUP BY read_id, strand")
+def align_paths(spark, sf_dir):
+    g = _linear(built(spark, sf_dir))
+    return alignment.paths(alignment.align_reads(g, letters(spark, sf_dir), W))
+
+
+@query(f"WITH RECURSIVE {O.aligned(K, W)} SELECT least(n, 999) AS segments, count(*) AS cnt FROM (SELECT count(*) AS n FROM aln GROUP BY read_id, strand) GROUP BY 1")
+def path_len_hist(spark, sf_dir):
+    g = _linear(built(spark, sf_dir))
+    return stats.path_lengths(alignment.align_reads(g, letters(spark, sf_dir), W))
