@@ -12,7 +12,7 @@ only where a set has so many of them that this could lose a partner.
 1. Signatures are counted; those of one row are dropped by a bitmap of fixed
    size, and those of one distinct set after that.  Equal sets are one node.
 2. Members of a signature are keyed by the signature's smallest node, and such
-   a group is compared in blocks: a sketch of one byte per domain part bounds
+   a group is compared in blocks: a sketch of half a byte per domain part bounds
    the difference of two sets from below.  Round one hands on the links of a
    spanning forest of each block; they are verified on the full sets and give
    components.  Round two hands on all pairs that pass the sketch, lie in
@@ -46,7 +46,7 @@ from ._text import SPACED, U64, mix, shingles, spans, text_bytes, words
 from .components import connected
 
 #: Parts of a partition, and how many of them a signature leaves out.
-N2, K2 = 3, 1
+N2, K2 = 2, 1
 #: A band's largest size is this many times its smallest.
 RATIO = 1.6
 BLOCK = 1024
@@ -116,12 +116,13 @@ class Scheme:
         return np.concatenate(out)
 
     def sketch(self, x: np.ndarray, c: int) -> bytes:
-        """One byte for each of 4k parts of the domain; unlike bytes are differing elements, one at least each."""
-        cells = max(64, 4 * self.band(c).differ)
+        """Half a byte for each of 4k parts of the domain; unlike parts hold differing elements, one at least each."""
+        cells = max(64, 4 * self.band(c).differ)  # an even number
         y = self.placed(x, c)
         at = np.searchsorted(((y >> U64(32)) * U64(cells)) >> U64(32), np.arange(cells + 1, dtype=U64))
         sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(y ^ U64(0xE7037ED1A0B428DB)))])
-        return ((mix(sums[at[1:]] - sums[at[:-1]]) >> U64(56)).astype(np.uint8)).tobytes()
+        half = (mix(sums[at[1:]] - sums[at[:-1]]) >> U64(60)).astype(np.uint8)
+        return (half[::2] | half[1::2] << 4).tobytes()
 
     def similar(self, a: np.ndarray, b: np.ndarray) -> bool:
         common = len(np.intersect1d(a, b, assume_unique=True))
@@ -191,7 +192,8 @@ def block_pairs(scheme: Scheme, rows: list[tuple], cross: bool, forest: bool) ->
     side = np.array([r[1] for r in rows])
     n = np.array([r[2] for r in rows])
     label = np.unique(np.array([r[3] for r in rows]), return_inverse=True)[1]
-    marks = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+    packed = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+    marks = np.hstack([packed & 15, packed >> 4])
     out = []
     for i in range(len(rows) - 1):
         rest = np.arange(i + 1, len(rows))
@@ -268,7 +270,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     chosen = stars.select("node").distinct().join(first, "node").select("node", F.col("first").alias("id"))
     wanted = passes(own, F.col("id"), key_filter(chosen, F.col("id"), ID_BITS), ID_BITS, "wanted").where("wanted").select("id", "text")
     wanted = wanted.join(chosen.select("id").distinct(), "id", "left_semi")
-    sets = written(wanted.select("id", "text").mapInArrow(_sketcher(scheme), "node long, band int, n long, sketch binary, items binary").dropDuplicates(["node", "band"]), "sets")
+    sets = written(wanted.select("id", "text").mapInArrow(_sketcher(scheme), "node long, band int, n long, sketch binary, items binary"), "sets")
 
     # blocks of the groups, without regard to components yet
     many = saved(stars.groupBy("band", "rep").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
@@ -305,10 +307,13 @@ def _passing(scheme: Scheme, blocks: DataFrame, labels: DataFrame, sets: DataFra
 
 
 def _tested(scheme: Scheme, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    pairs = saved(pairs)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     items = sets.where("items IS NOT NULL").select("node", "items")
+    items = passes(items, F.col("node"), key_filter(ends, F.col("node"), ID_BITS), ID_BITS, "wanted").where("wanted").select("node", "items")
     full = pairs.join(items.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
     full = full.join(items.select(F.col("node").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
-    return saved(full.mapInArrow(_verifier(scheme), "a long, b long, similar boolean"))
+    return saved(full.mapInArrow(_verifier(scheme), "a long, b long, similar boolean").distinct())
 
 
 def classes(found: Found) -> DataFrame:
