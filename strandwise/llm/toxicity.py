@@ -81,12 +81,12 @@ def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         for d in range(j - i):
             own, times = np.unique(number[w.doc_at[d] : w.doc_at[d + 1]], return_counts=True)
             if not len(own):
-                out.append((np.zeros(0, np.int64), np.zeros(0)))
+                out.append((np.zeros(0, np.int32), np.zeros(0, np.float32)))
                 continue
             at = np.concatenate([rows[k] for k in own])
             weight = np.concatenate([np.full(len(rows[k]), t / len(rows[k])) for k, t in zip(own, times)]) / times.sum()
             buckets, where = np.unique(at, return_inverse=True)
-            out.append((buckets, np.bincount(where, weight)))
+            out.append((buckets.astype(np.int32), np.bincount(where, weight).astype(np.float32)))
     return out
 
 
@@ -171,8 +171,20 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
     sample = _chosen(known, per_class)
     if not sample:
         return train([])
-    picked = docs.where(F.col("doc_id").isin(list(sample))).select("doc_id", "text").where("text IS NOT NULL").toLocalIterator()
-    return train(sorted((str(sample[r["doc_id"]]), r["text"]) for r in picked))
+    picked = docs.where(F.col("doc_id").isin(list(sample)) & F.col("text").isNotNull()).select("doc_id", "text")
+    row = picked.repartition(1).mapInArrow(_trainer(sample), "fold binary, known binary, bias double, empty boolean").first()
+    return Model(np.frombuffer(row["fold"], np.float32), np.frombuffer(row["known"], bool), row["bias"], row["empty"])
+
+
+def _trainer(sample: dict[int, int]):
+    """Trains in one task, which spares the driver the texts; they are as many as the sample at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [pair for b in batches for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        m = train(sorted((str(sample[i]), t) for i, t in rows))
+        yield pa.RecordBatch.from_pydict({"fold": [m.fold.astype(np.float32).tobytes()], "known": [m.known.tobytes()], "bias": [m.bias], "empty": [m.empty]})
+
+    return run
 
 
 def _chosen(known: DataFrame, per_class: dict[int, int]) -> dict[int, int]:
