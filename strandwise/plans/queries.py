@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import hashing, sequence as S
-from ..operators import alignment, graph, kmers, reads as R, stats
+from ..operators import alignment, correction, graph, kmers, reads as R, stats, subgraph
 from ..sources import sinks
 from . import oracles as O
 
@@ -224,3 +224,171 @@ def align_paths(spark, sf_dir):
 def path_len_hist(spark, sf_dir):
     g = _linear(built(spark, sf_dir))
     return stats.path_lengths(alignment.align_reads(g, letters(spark, sf_dir), W))
+
+
+@query(f"""WITH RECURSIVE {O.aligned(K, W, "own", "read_id")}, vs AS (SELECT v, count(*) FILTER (d = 'o') AS o, count(*) FILTER (d = 'i') AS i FROM (SELECT start AS v, 'o' AS d FROM edges UNION ALL SELECT stop, 'i' FROM edges) GROUP BY v),
+x AS (SELECT a.*, max(idx) OVER (PARTITION BY read_id) AS last, cov / size < 2 AS weak, p.o = 1 AND p.i = 0 AS dead_in, q.o = 0 AND q.i = 1 AS dead_out, e.text
+  FROM aln a JOIN edges e ON e.start = a.start AND e.text[{K + 1}] = a.base JOIN vs p ON p.v = e.start JOIN vs q ON q.v = e.stop),
+y AS (SELECT *, idx = 0 AND weak AND dead_in AS head FROM x),
+z AS (SELECT *, max(head::INT) OVER (PARTITION BY read_id) AS gone FROM y),
+t AS (SELECT * FROM z WHERE NOT head AND NOT (idx = last AND weak AND dead_out AND NOT (last = 0 AND gone = 1))),
+f AS (SELECT read_id, string_agg(CASE WHEN idx = low THEN substr(text, "left" + 1, "right" - "left" + {K}) ELSE substr(text, "left" + 1 + {K}, "right" - "left") END, '' ORDER BY idx) AS seq, bool_or(weak) AS bad
+  FROM (SELECT *, min(idx) OVER (PARTITION BY read_id) AS low FROM t) GROUP BY read_id)
+SELECT read_id, seq FROM f WHERE NOT bad""")
+def tip_correct(spark, sf_dir):
+    return alignment.tip_corrected(_degrees(_linear(built(spark, sf_dir))), letters(spark, sf_dir), W)
+
+
+def _degrees(g: graph.Graph) -> graph.Graph:
+    return g._replace(vertices=graph.vertices_of(g.edges))
+
+
+_LEAST = 2
+
+
+@query(f"""WITH RECURSIVE {O.edges(K, W)}, strong AS (SELECT * FROM edges WHERE cov / size >= {_LEAST}),
+d2 AS (SELECT v, count(*) FILTER (d = 'o') AS o, count(*) FILTER (d = 'i') AS i FROM (SELECT start AS v, 'o' AS d FROM strong UNION ALL SELECT stop, 'i' FROM strong) GROUP BY v),
+j2 AS (SELECT v FROM d2 WHERE o <> 1 OR i <> 1),
+walk2 AS (SELECT start, stop AS cur, text, size, cov FROM strong WHERE start IN (SELECT v FROM j2)
+  UNION ALL SELECT w.start, s.stop, w.text || substr(s.text, {K + 1}), w.size + s.size, w.cov + s.cov FROM walk2 w JOIN strong s ON s.start = w.cur WHERE w.cur NOT IN (SELECT v FROM j2))
+SELECT start, cur AS stop, text, size, cov FROM walk2 WHERE cur IN (SELECT v FROM j2)""")
+def simplify(spark, sf_dir):
+    g = graph.filtered(_linear(built(spark, sf_dir)), _LEAST)
+    return g.edges.where("NOT is_cycle").select("start", "stop", F.concat("start", "seq").alias("text"), "size", "cov")
+
+
+_REF = O.letters("benchmark", "item_id")
+_PATH = f"""ref AS (SELECT * FROM ({_REF})), {O.aligned(K, W, "ref", "read_id")},
+path AS (SELECT a.*, e.stop, e.size, e.cov, sum("right" - "left") OVER (PARTITION BY read_id ORDER BY idx) AS re FROM aln a JOIN edges e ON e.start = a.start AND e.text[{K + 1}] = a.base)"""
+
+
+def _reference(spark: SparkSession, sf_dir: str) -> tuple[graph.Graph, DataFrame]:
+    g = _linear(built(spark, sf_dir))
+    return g, alignment.align(g, letters(spark, sf_dir, "benchmark", "item_id"))
+
+
+@query(f'WITH RECURSIVE {_PATH} SELECT read_id, idx::INTEGER AS idx, start, base, stop, "left", "right", (re - ("right" - "left"))::BIGINT AS ref_left, re::BIGINT AS ref_right, size, cov FROM path')
+def reference_path(spark, sf_dir):
+    return stats.reference_path(*_reference(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {_PATH} SELECT start, base, count(*) AS mult FROM path GROUP BY 1, 2")
+def edge_multiplicity(spark, sf_dir):
+    return stats.multiplicity(_reference(spark, sf_dir)[1])
+
+
+@query(f"""WITH RECURSIVE {_PATH}, p AS (SELECT DISTINCT start, base FROM path)
+SELECT least(cov // size, 50) AS coverage, (start, text[{K + 1}]) IN (SELECT (start, base) FROM p) OR (substr(twin, 1, {K}), twin[{K + 1}]) IN (SELECT (start, base) FROM p) AS on_path, count(*) AS cnt, sum(size)::BIGINT AS total_size
+FROM edges WHERE start < {O.rc("start")} GROUP BY 1, 2""")
+def reference_cov_hist(spark, sf_dir):
+    """Vertices count as canonical by text, which needs no hash."""
+    g, found = _reference(spark, sf_dir)
+    return stats.reference_coverage(g, found, g.vertices.where(F.col("v") < S.revcomp("v")))
+
+
+@query(f"""WITH RECURSIVE {O.edges(K, W)}, strong AS (SELECT * FROM edges WHERE cov / size >= {_LEAST}),
+ways AS (SELECT start, stop, size FROM strong UNION ALL SELECT stop, start, size FROM strong),
+seeds AS (SELECT v FROM (SELECT start AS v, row_number() OVER (ORDER BY size DESC, start) AS n FROM strong) WHERE n <= 5),
+go AS (SELECT DISTINCT v, 0::BIGINT AS dist FROM (SELECT v FROM seeds UNION ALL SELECT {O.rc("v")} FROM seeds) UNION SELECT stop, dist + size FROM go JOIN ways ON start = v WHERE dist <= 100)
+SELECT v, min(dist) AS dist FROM go GROUP BY v""")
+def neighbourhood(spark, sf_dir):
+    """Around the starts of the five largest edges of mean coverage 2, 100 bases far."""
+    g = _linear(built(spark, sf_dir))
+    seeds = g.edges.where(F.col("cov") / F.col("size") >= _LEAST).orderBy(F.desc("size"), "start").limit(5).select(F.col("start").alias("v"))
+    return subgraph.neighbourhood(g, seeds, 100, _LEAST)
+
+
+_PAIRS = "SELECT a.item_id AS a, b.item_id AS b, a.seq AS x, b.seq AS y FROM it a JOIN it b ON b.item_id = a.item_id + 1"
+_ITEMS = "it AS (SELECT item_id, upper(regexp_replace(coalesce(text, ''), '[^ACGTacgt]', '', 'g')) AS seq FROM benchmark)"
+
+
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    it = letters(spark, sf_dir, "benchmark", "item_id")
+    return it.select(F.col("read_id").alias("a"), F.col("seq").alias("x")).join(it.select((F.col("read_id") - 1).alias("a"), F.col("read_id").alias("b"), F.col("seq").alias("y")), "a")
+
+
+@query(f"WITH {_ITEMS} SELECT a, b, levenshtein(x, y)::INTEGER AS distance FROM ({_PAIRS})")
+def edit_distance(spark, sf_dir):
+    return _neighbours(spark, sf_dir).select("a", "b", S.edit_distance("x", "y").alias("distance"))
+
+
+@query(f"""WITH {_ITEMS}, p AS (SELECT a, b, x, y, unnest(range(0, length(y) + 1)) AS j FROM ({_PAIRS}))
+SELECT a, b, first(j ORDER BY levenshtein(x, left(y, j)), j <> length(y), j)::INTEGER AS best FROM p GROUP BY a, b""")
+def best_prefix(spark, sf_dir):
+    return _neighbours(spark, sf_dir).select("a", "b", S.best_prefix("x", "y").alias("best"))
+
+
+@query(f"""WITH {_ITEMS}, c AS (SELECT a.item_id, a.seq AS old, b.item_id AS o, b.seq AS cand FROM it a JOIN it b ON b.item_id BETWEEN a.item_id + 1 AND a.item_id + 3),
+d AS (SELECT *, levenshtein(old, cand) AS d, row_number() OVER (PARTITION BY item_id ORDER BY o) - 1 AS i, greatest(20, length(old) // 100) AS far FROM c),
+w AS (SELECT item_id, min(d) AS wd, first(i ORDER BY d, i) AS wi, first(cand ORDER BY d, i) AS wc FROM d GROUP BY item_id)
+SELECT d.item_id, CASE WHEN max(wd) <= max(far) AND NOT bool_or(i <> wi AND d < far AND d <> wd + levenshtein(wc, cand)) THEN max(wi)::INTEGER END AS winner FROM d JOIN w USING (item_id) GROUP BY d.item_id""")
+def tournament(spark, sf_dir):
+    """Each item against the three after it."""
+    it = letters(spark, sf_dir, "benchmark", "item_id")
+    near = it.select(F.explode(F.sequence(F.col("read_id") - 3, F.col("read_id") - 1)).alias("item_id"), F.col("read_id").alias("o"), "seq")
+    rows = it.select(F.col("read_id").alias("item_id"), F.col("seq").alias("old")).join(near, "item_id").groupBy("item_id", "old").agg(F.array_sort(F.collect_list(F.struct("o", "seq"))).alias("c"))
+    return rows.select("item_id", correction.tournament(F.col("old"), F.transform("c", lambda x: x["seq"])).cast("int").alias("winner"))
+
+
+LOW, HIGH = K * 2 // 3, max(min((K + W - 1) * 3 // 4, K * 11 // 2), K * 3 // 2)
+_EXT = f"""{O.aligned(K, W)},
+st AS (SELECT a.read_id, a.strand, a.idx, a.start, a.base, e.stop, e.size FROM aln a JOIN edges e ON e.start = a.start AND e.text[{K + 1}] = a.base),
+cum AS (SELECT *, sum(size) OVER (PARTITION BY read_id, strand ORDER BY idx) AS upto, max(idx) OVER (PARTITION BY read_id, strand) AS last FROM st),
+span AS (SELECT i.read_id, i.strand, i.idx, i.start, i.upto - i.size AS before, min(j.idx) FILTER (j.upto - (i.upto - i.size) >= {HIGH} OR j.idx = j.last) AS til FROM cum i JOIN cum j ON j.read_id = i.read_id AND j.strand = i.strand AND j.idx >= i.idx GROUP BY ALL),
+ex AS (SELECT s.read_id, s.strand, s.idx, s.start AS v, string_agg(j.base, '' ORDER BY j.idx) AS ext, sum(j.size) AS len FROM span s JOIN cum j ON j.read_id = s.read_id AND j.strand = s.strand AND j.idx BETWEEN s.idx AND s.til GROUP BY ALL HAVING sum(j.size) >= {LOW}),
+index AS (SELECT v, ext, count(*) AS cnt FROM ex GROUP BY v, ext)"""
+
+
+def _index(spark: SparkSession, sf_dir: str) -> tuple[graph.Graph, DataFrame]:
+    key = (spark.sparkContext.applicationId, sf_dir, "index")
+    g = _linear(built(spark, sf_dir))
+    if key not in BUILT:
+        BUILT[key] = graph.saved(correction.extension_index(g, alignment.align_reads(g, letters(spark, sf_dir), W), LOW, HIGH))
+    return g, BUILT[key]
+
+
+@query(f"WITH RECURSIVE {_EXT} SELECT v, ext, cnt FROM index")
+def path_extensions(spark, sf_dir):
+    return _index(spark, sf_dir)[1].select("v", "ext", "cnt")
+
+
+@query(f"WITH RECURSIVE {_EXT} SELECT q.v, q.prefix, sum(cnt)::BIGINT AS support FROM (SELECT DISTINCT v, left(ext, 2) AS prefix FROM index) q JOIN index i ON i.v = q.v AND starts_with(ext, prefix) GROUP BY 1, 2")
+def prefix_support(spark, sf_dir):
+    index = _index(spark, sf_dir)[1]
+    return correction.prefix_support(index, index.select("v", F.left("ext", F.lit(2)).alias("prefix")))
+
+
+@query(f"""WITH RECURSIVE {_EXT}, b AS (SELECT v, first(ext ORDER BY cnt DESC, ext DESC) AS best, max(cnt) AS top FROM index GROUP BY v)
+SELECT v, bool_and(cnt < 2 OR starts_with(best, ext) OR starts_with(ext, best)) AND max(top) >= 2 AS "unique" FROM index JOIN b USING (v) GROUP BY v""")
+def unique_out(spark, sf_dir):
+    return correction.unique_out(_index(spark, sf_dir)[1], 2)
+
+
+@query(f"""WITH RECURSIVE {_EXT},
+go2 AS (SELECT v, ext, cnt, 1 AS i, e.stop FROM index JOIN edges e ON e.start = v AND e.text[{K + 1}] = ext[1]
+  UNION ALL SELECT g.v, g.ext, g.cnt, i + 1, e.stop FROM go2 g JOIN edges e ON e.start = g.stop AND e.text[{K + 1}] = g.ext[i + 1] WHERE i < length(ext))
+SELECT v, stop, left(ext, i) AS alt, sum(cnt)::BIGINT AS support FROM go2 GROUP BY 1, 2, 3 HAVING sum(cnt) > 1""")
+def bulge_alternatives(spark, sf_dir):
+    """From every vertex to every vertex that its continuations reach."""
+    index = _index(spark, sf_dir)[1]
+    asked = index.select("v", F.explode("stops").alias("stop"))
+    return correction.bulge_alternatives(index, asked, 1).select("v", "stop", "alt", "support")
+
+
+@query()
+def correct_low_cov(spark, sf_dir):
+    g, index = _index(spark, sf_dir)
+    return correction.correct_low_covered(g, letters(spark, sf_dir), index, 3, W)
+
+
+@query()
+def correct_dinucleotide(spark, sf_dir):
+    g, index = _index(spark, sf_dir)
+    return correction.correct_dinucleotides(g, letters(spark, sf_dir), index, W)
+
+
+@query()
+def segment_align(spark, sf_dir):
+    """Benchmark items, step by step between vertices, on the edge that agrees most."""
+    g = _degrees(_linear(built(spark, sf_dir)))
+    return alignment.careful(g, letters(spark, sf_dir, "benchmark", "item_id"))
