@@ -14,10 +14,11 @@ only where a set has so many of them that this could lose a partner.
 2. Members of a signature are keyed by the signature's smallest node, and such
    a group is compared in blocks: a sketch of half a byte per domain part bounds
    the difference of two sets from below.  Round one hands on the links of a
-   spanning forest of each block; they are verified on the full sets and give
-   components.  Round two hands on all pairs that pass the sketch, lie in
-   different components and weren't tried before; it ends the search, for
-   every similar pair is then tried or inside a component.
+   spanning forest of each block; they are verified on the full sets.  A block
+   whose links all hold has no more to find.  Of the others, round two hands
+   on all pairs that pass the sketch, lie in different components and weren't
+   tried before; it ends the search, for every similar pair is then tried or
+   inside a component.
 
 Nothing is capped or sampled.  Groups of copies are one node; large groups of
 near copies meet in blocks of BLOCK rows; joins on hot keys are left to
@@ -50,8 +51,10 @@ N2, K2 = 2, 1
 #: A band's largest size is this many times its smallest.
 RATIO = 1.6
 BLOCK = 1024
-SIGNATURE_BITS, ID_BITS = 1 << 26, 1 << 24
-SLICE_BYTES = 4 << 20
+SIGNATURE_BITS, ID_BITS = 1 << 27, 1 << 24
+SLICE_BYTES = 2 << 20
+#: Rows that Spark hands to a Python worker at once.
+ROWS = 2000
 
 
 class Band(NamedTuple):
@@ -135,19 +138,19 @@ def node_of(x: np.ndarray) -> int:
     return int(mix(total + U64(len(x))).view(np.int64)[0])
 
 
-def sets_of(column: pa.Array, size: int) -> Iterator[np.ndarray]:
-    data, off = text_bytes(column)
+def sets_of(batch: pa.RecordBatch, size: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """(ids, sets) of a batch (id, text), a slice of bounded size at a time."""
+    data, off = text_bytes(batch.column(1))
     for i, j in spans(off, SLICE_BYTES):
         h, at = shingles(words(data[off[i] : off[j]], off[i : j + 1] - off[i], SPACED), size)
-        for d in range(j - i):
-            yield np.unique(h[at[d] : at[d + 1]])
+        yield batch.column(0).slice(i, j - i), [np.unique(h[at[d] : at[d + 1]]) for d in range(j - i)]
 
 
 def _signer(scheme: Scheme):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for ids, sets in (x for batch in batches for x in sets_of(batch, scheme.size)):
             row, node, n, band, sigs = [], [], [], [], []
-            for d, x in enumerate(sets_of(batch.column(1), scheme.size)):
+            for d, x in enumerate(sets):
                 name = node_of(x) if len(x) else None
                 for c in scheme.bands(len(x)) if len(x) else [-1]:
                     row.append(d)
@@ -158,9 +161,8 @@ def _signer(scheme: Scheme):
             own = np.ones(len(row), bool)
             own[1:] = np.diff(row) > 0
             off = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
-            flat = np.concatenate(sigs).view(np.int64) if sigs else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row, pa.int64())), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(own), pa.array(band, pa.int32()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))],
+                [ids.take(pa.array(row, pa.int64())), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(own), pa.array(band, pa.int32()), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(sigs).view(np.int64)))],
                 names=["id", "node", "n", "own", "band", "sigs"],
             )
 
@@ -169,9 +171,9 @@ def _signer(scheme: Scheme):
 
 def _sketcher(scheme: Scheme):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for _, sets in (x for batch in batches for x in sets_of(batch, scheme.size)):
             node, band, n, sketch, items = [], [], [], [], []
-            for x in sets_of(batch.column(1), scheme.size):
+            for x in sets:
                 for k, c in enumerate(scheme.bands(len(x)) if len(x) else []):
                     node.append(node_of(x))
                     band.append(c)
@@ -212,6 +214,12 @@ def block_pairs(scheme: Scheme, rows: list[tuple], cross: bool, forest: bool) ->
     return out
 
 
+def pairs_batch(rows: list[tuple]) -> pa.RecordBatch:
+    names = ["band", "rep", "i", "j", "a", "b"]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array([r[m] for r in rows], t) for m, t in enumerate(kinds)], names=names)
+
+
 def _comparer(scheme: Scheme, forest: bool):
     """Over rows sorted by block: band, rep, i, j, node, side, n, label, sketch."""
 
@@ -220,15 +228,13 @@ def _comparer(scheme: Scheme, forest: bool):
             for b in batches:
                 yield from zip(*(c.to_pylist() for c in b.columns))
 
-        a, z = [], []
-        for (_, _, i, j), own in groupby(rows(), key=lambda r: r[:4]):
-            found = block_pairs(scheme, [r[4:] for r in own], i != j, forest)
-            a += [min(p) for p in found]
-            z += [max(p) for p in found]
-            if len(a) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
-                a, z = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
+        out: list[tuple] = []
+        for key, own in groupby(rows(), key=lambda r: r[:4]):
+            out += [(*key, min(p), max(p)) for p in block_pairs(scheme, [r[4:] for r in own], key[2] != key[3], forest)]
+            if len(out) > 10_000:
+                yield pairs_batch(out)
+                out = []
+        yield pairs_batch(out)
 
     return run
 
@@ -252,6 +258,7 @@ class Found(NamedTuple):
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100) -> Found:
     """Links of all documents whose sets' Jaccard similarity is num / den or more."""
     scheme = Scheme(size, num, den)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
     own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     kind = own.schema["id"].dataType.simpleString()
     signed = written(own.mapInArrow(_signer(scheme), f"id {kind}, node long, n long, own boolean, band int, sigs array<long>"), "signed")
@@ -262,7 +269,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     rows = signed.select("node", "band", F.explode("sigs").alias("sig"))
     often = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     rows = passes(rows, F.col("sig"), key_filter(often, F.col("sig"), SIGNATURE_BITS), SIGNATURE_BITS, "often").where("often").drop("often")
-    rows = written(rows.distinct(), "members")
+    rows = written(rows, "members")
     shared = saved(rows.groupBy("sig").agg(F.min("node").alias("rep"), F.max("node").alias("last")).where("rep < last").select("sig", "rep"))
     stars = written(rows.join(shared, "sig").select("band", "rep", "node").distinct(), "stars")
 
@@ -279,31 +286,40 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     rows = rows.select("band", "rep", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "side")
     blocks = written(rows, "blocks")
 
-    tried = links = None
     labels = first.select("node", F.col("node").alias("label"))
-    for forest in (True, False):
-        pairs = _passing(scheme, blocks, labels, sets, forest)
-        if tried is not None:
-            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        tested = _tested(scheme, pairs, sets)
-        links = tested.where("similar").select("a", "b") if links is None else saved(links.unionByName(tested.where("similar").select("a", "b")))
-        tried = tested
-        roots = connected(links).select("node", F.col("root").alias("label"))
-        labels = first.select("node").join(roots, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    found = _passing(scheme, blocks, labels, sets, True)
+    tried = _tested(scheme, found.select("a", "b").distinct(), sets)
+    links = tried.where("similar").select("a", "b")
+    # a block whose links were all verified has no more to find
+    failed = tried.where("NOT similar").select("a", "b")
+    again = saved(found.join(failed, ["a", "b"], "left_semi").select(*BLOCK_KEY).distinct())
+    if again.limit(1).count():
+        blocks = written(blocks.join(again, BLOCK_KEY, "left_semi"), "again")
+        found = _passing(scheme, blocks, _labelled(first, links), sets, False)
+        more = _tested(scheme, found.select("a", "b").distinct().join(failed, ["a", "b"], "left_anti"), sets)
+        links = saved(links.unionByName(more.where("similar").select("a", "b")))
+    labels = _labelled(first, links)
     names = labels.join(first, "node")
     least = names.groupBy("label").agg(F.min("first").alias("component"))
     nodes = saved(names.join(least, "label").select("node", "first", "component"))
     return Found(documents, nodes, links)
 
 
+BLOCK_KEY = ["band", "rep", "i", "j"]
+
+
+def _labelled(first: DataFrame, links: DataFrame) -> DataFrame:
+    roots = connected(links).select("node", F.col("root").alias("label"))
+    return first.select("node").join(roots, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+
+
 def _passing(scheme: Scheme, blocks: DataFrame, labels: DataFrame, sets: DataFrame, forest: bool) -> DataFrame:
     rows = blocks.join(labels, "node")
     # a block whose rows are all of one component has nothing left to compare
     mixed = rows.groupBy("band", "rep", "i", "j").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band", "rep", "i", "j")
     rows = rows.join(mixed, ["band", "rep", "i", "j"], "left_semi").join(sets.select("node", "band", "n", "sketch"), ["node", "band"])
-    rows = rows.select("band", "rep", "i", "j", "node", "side", "n", "label", "sketch")
-    keys = ["band", "rep", "i", "j"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_comparer(scheme, forest), "a long, b long").distinct()
+    rows = rows.select(*BLOCK_KEY, "node", "side", "n", "label", "sketch")
+    return saved(rows.repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY).mapInArrow(_comparer(scheme, forest), "band int, rep long, i int, j int, a long, b long"))
 
 
 def _tested(scheme: Scheme, pairs: DataFrame, sets: DataFrame) -> DataFrame:
