@@ -39,8 +39,8 @@ IN_TEXTS, IN_SHARE = 5, 0.01
 STEPS, EPOCHS, BATCH, RATE, DECAY, SCALE = 100, 8, 64, 0.1, 1e-4, 30.0
 #: N-grams are taken from a word's first so many bytes, and its whole from all of them.
 LONG = 64
-SLICE_BYTES = 8 << 20
-CHUNK = 50_000
+SLICE_BYTES = 4 << 20
+CHUNK = 20_000
 
 
 class Model(NamedTuple):
@@ -70,7 +70,7 @@ def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each text: its buckets and their weights in the text's mean."""
     out = []
     data, off = text_bytes(pa.array(texts, pa.large_string()))
-    for i, j in spans(off, SLICE_BYTES):
+    for i, j in spans(off, SLICE_BYTES // 8):
         mine = data[off[i] : off[j]]
         w = words(mine, off[i : j + 1] - off[i], ALNUM)
         place, number = distinct_words(w)
