@@ -333,15 +333,16 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: tup
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str = "[secret]") -> DataFrame:
     """Per row: id and the text with all spans replaced."""
-    own = docs.select(F.struct(F.col(doc_id).alias("id"), F.col(text).alias("text")).alias("id"), F.col(text).alias("text"))
+    own = docs.select(F.struct(F.col(doc_id).alias("key"), F.col(text).alias("text")).alias("id"), F.col(text).alias("text"))
     spans = F.col("spans")
     cut = F.aggregate(
         spans,
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.when(s["stop"] <= a["at"], a).otherwise(F.struct(s["stop"].alias("at"), F.concat(a["out"], F.substring(F.col("id.text"), (a["at"] + 1).cast("int"), F.greatest(s["start"] - a["at"], F.lit(0)).cast("int")), F.lit(mark)).alias("out"))),
-        lambda a: F.concat(a["out"], F.substring(F.col("id.text"), (a["at"] + 1).cast("int"), F.length(F.col("id.text")))),
+        lambda a, s: F.when(s["stop"] <= a["at"], a).otherwise(F.struct(s["stop"].alias("at"), F.concat(a["out"], F.substring(F.col("_doc.text"), (a["at"] + 1).cast("int"), F.greatest(s["start"] - a["at"], F.lit(0)).cast("int")), F.lit(mark)).alias("out"))),
+        lambda a: F.concat(a["out"], F.substring(F.col("_doc.text"), (a["at"] + 1).cast("int"), F.length(F.col("_doc.text")))),
     )
-    return find(own, "id", "text").select(F.col("id.id").alias("id"), cut.alias("text"))
+    found = find(own, "id", "text").withColumnRenamed("id", "_doc")
+    return found.select(F.col("_doc.key").alias("id"), cut.alias("text"))
 
 
 BASE = ("assign", "access", "hex")
