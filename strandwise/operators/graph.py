@@ -67,8 +67,9 @@ def ranked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         ahead = now.select(F.col("id").alias("ptr"), F.col("ptr").alias("p2"), F.col("d").alias("d2"), F.col("done").alias("done2"))
         moved = now.where("NOT done").join(ahead, "ptr").select("id", F.col("p2").alias("ptr"), (F.col("d") + F.col("d2")).alias("d"), F.col("done2").alias("done"))
         now = saved(now.where("done").unionByName(moved))
-        open_rows = now.where("NOT done").count()
-        if not open_rows:
+        before, left = left, now.where("NOT done").count()
+        # a chain has rows at every distance from its head, so a round that ends none leaves cycles only
+        if left in (0, before):
             break
     done = now.where("done").select("id", F.col("ptr").alias("head"), "d")
     return done, now.where("NOT done").select("id").join(rows, "id")
@@ -79,7 +80,9 @@ def smallest(rows: DataFrame) -> DataFrame:
     now = saved(rows.select("id", F.col("prev").alias("ptr"), F.least("id", "prev").alias("head")))
     for _ in range(math.ceil(math.log2(now.count() + 1)) + 1):
         ahead = now.select(F.col("id").alias("ptr"), F.col("ptr").alias("p2"), F.col("head").alias("h2"))
-        now = saved(now.join(ahead, "ptr").select("id", F.col("p2").alias("ptr"), F.least("head", "h2").alias("head")))
+        now = saved(now.join(ahead, "ptr").select("id", F.col("p2").alias("ptr"), F.least("head", "h2").alias("head"), (F.col("h2") < F.col("head")).alias("moved")))
+        if not now.where("moved").limit(1).count():
+            break
     return now.select("id", "head")
 
 
@@ -107,13 +110,13 @@ def _rotated(k: int, base: int):
 
 
 def compacted(found: DataFrame, junctions: DataFrame, k: int, base: int = BASE) -> DataFrame:
-    """Edges from pieces (text, cnt) whose ends are junctions or have one way in and out.
+    """Edges from pieces (text, cov) whose ends are junctions or have one way in and out.
 
     A chain is joined into one edge: texts overlap by k, sizes and coverages add
     up.  A cycle without junctions becomes one self-edge on each strand, or one
     in all if it is its own reverse complement.
     """
-    rows = found.select(F.left("text", F.lit(k + 1)).alias("id"), F.left("text", F.lit(k)).alias("start"), F.right("text", F.lit(k)).alias("stop"), "text", (F.length("text") - k).cast("long").alias("size"), ((F.length("text") - k) * F.col("cnt")).cast("long").alias("cov"))
+    rows = found.select(F.left("text", F.lit(k + 1)).alias("id"), F.left("text", F.lit(k)).alias("start"), F.right("text", F.lit(k)).alias("stop"), "text", (F.length("text") - k).cast("long").alias("size"), "cov")
     marks = junctions.select("v", F.lit(True).alias("j"))
     rows = saved(rows.join(marks.withColumnRenamed("v", "start").withColumnRenamed("j", "from_j"), "start", "left").join(marks.withColumnRenamed("v", "stop").withColumnRenamed("j", "to_j"), "stop", "left"))
     whole = rows.where("from_j AND to_j").select("text", "size", "cov")
@@ -153,11 +156,13 @@ def build(reads: DataFrame, k: int, w: int, base: int = BASE, reference: DataFra
         counted = shaping.where("startswith(read_id, 'r:')")
         counts = pieces(counted, k, cuts(shaping, k, junctions))
         found = found.select("text").join(counts, "text", "left").select("text", F.coalesce("cnt", F.lit(0)).alias("cnt"))
+    # a piece is traversed as a whole, so each of its (k+1)-mers occurs as often as the piece
+    found = found.select("text", ((F.length("text") - k) * F.col("cnt")).cast("long").alias("cov"))
     edges = saved(compacted(found, junctions, k, base))
-    return Graph(k, edges, vertices_of(edges, junctions))
+    return Graph(k, edges, vertices_of(edges))
 
 
-def vertices_of(edges: DataFrame, junctions: DataFrame | None = None) -> DataFrame:
+def vertices_of(edges: DataFrame) -> DataFrame:
     """v, out_deg, in_deg of all vertices that edges leave or reach."""
     ways = edges.select(F.col("start").alias("v"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("stop").alias("v"), F.lit(0).alias("o"), F.lit(1).alias("i")))
     return ways.groupBy("v").agg(F.sum("o").cast("long").alias("out_deg"), F.sum("i").cast("long").alias("in_deg"))
@@ -174,17 +179,10 @@ def compact_edges(edges: DataFrame, k: int, base: int = BASE) -> Graph:
     edges = saved(edges.select(*EDGE))
     own = vertices_of(edges)
     junctions = saved(own.where("out_deg <> 1 OR in_deg <> 1"))
-    rows = edges.select(F.concat("start", "seq").alias("text"), "size", "cov")
-    # coverages of joined edges add up, so a piece's count is its mean coverage
-    found = rows.select("text", (F.col("cov") / F.col("size")).alias("cnt"))
-    out = saved(compacted(found, junctions, k, base).withColumn("cov", F.round("cov").cast("long")))
+    out = saved(compacted(edges.select(F.concat("start", "seq").alias("text"), "cov"), junctions, k, base))
     return Graph(k, out, vertices_of(out))
 
 
-def twin_start(stop: str = "stop") -> Column:
-    return revcomp(stop)
-
-
 def named(graph: Graph, base: int = BASE) -> DataFrame:
     """Edges with the printed names of their ends, twin, orientation and id.
 

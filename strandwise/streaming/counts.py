@@ -1,0 +1,12 @@
+"""Running k-mer counts over reads that arrive as files or rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from ..operators.kmers import canonical_kmers
+
+
+def running_counts(reads: DataFrame, k: int) -> DataFrame:
+    """Canonical k-mer counts of a stream (read_id, seq), for output mode complete or update."""
+    return canonical_kmers(reads, k)
