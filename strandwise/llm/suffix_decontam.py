@@ -128,7 +128,8 @@ class Shard:
             level = min((length - done).bit_length() - 1, top)
             ok = p + done < self.end[p]
             p, t = p[ok], t[ok]
-            ok = self.rank[level][p + done] == ranks[level][t + done]
+            want = ranks[level][t + done]
+            ok = (want > 0) & (self.rank[level][p + done] == want)  # 0 is absence, on both sides
             p, t = p[ok], t[ok]
             done += 1 << level
         return p, t
