@@ -145,7 +145,7 @@ def edge_coverage(spark, sf_dir):
 
 
 def _linear(g: graph.Graph) -> graph.Graph:
-    """Without junction-free cycles, which the SQL's walk leaves out."""
+    """Without junction-free cycles, which the SQL's walk leaves out; queries without SQL keep them."""
     return g._replace(edges=g.edges.where("NOT is_cycle"))
 
 
@@ -339,9 +339,9 @@ ex AS (SELECT s.read_id, s.strand, s.idx, s.start AS v, string_agg(j.base, '' OR
 index AS (SELECT v, ext, count(*) AS cnt FROM ex GROUP BY v, ext)"""
 
 
-def _index(spark: SparkSession, sf_dir: str) -> tuple[graph.Graph, DataFrame]:
-    key = (spark.sparkContext.applicationId, sf_dir, "index")
-    g = _linear(built(spark, sf_dir))
+def _index(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[graph.Graph, DataFrame]:
+    key = (spark.sparkContext.applicationId, sf_dir, "whole index" if whole else "index")
+    g = built(spark, sf_dir) if whole else _linear(built(spark, sf_dir))
     if key not in BUILT:
         BUILT[key] = graph.saved(correction.extension_index(g, alignment.align_reads(g, letters(spark, sf_dir), W), LOW, HIGH))
     return g, BUILT[key]
@@ -377,18 +377,17 @@ def bulge_alternatives(spark, sf_dir):
 
 @query()
 def correct_low_cov(spark, sf_dir):
-    g, index = _index(spark, sf_dir)
+    g, index = _index(spark, sf_dir, whole=True)
     return correction.correct_low_covered(g, letters(spark, sf_dir), index, 3, W)
 
 
 @query()
 def correct_dinucleotide(spark, sf_dir):
-    g, index = _index(spark, sf_dir)
+    g, index = _index(spark, sf_dir, whole=True)
     return correction.correct_dinucleotides(g, letters(spark, sf_dir), index, W)
 
 
 @query()
 def segment_align(spark, sf_dir):
     """Benchmark items, step by step between vertices, on the edge that agrees most."""
-    g = _degrees(_linear(built(spark, sf_dir)))
-    return alignment.careful(g, letters(spark, sf_dir, "benchmark", "item_id"))
+    return alignment.careful(built(spark, sf_dir), letters(spark, sf_dir, "benchmark", "item_id"))
