@@ -2,10 +2,12 @@
 
 Documents fall into cells of (source, language, topic); a cell's weight starts
 as its tokens.  Rounds scale the weights so that each dimension's marginal in
-turn meets its target, until all do or ROUNDS are over.  A cell's weight over
-its tokens, times a factor that meets the token budget, capped at 1, is the
-probability with which its documents are drawn; a document is drawn if a hash
-of its id lies below it, so the same documents are drawn on every machine.
+turn meets its target, until all do or ROUNDS are over (which is logged).  No
+cell can give more than its tokens: a round scales the other cells to make up
+for those that give all.  A cell's weight over its tokens, times a factor that
+meets the token budget, is the probability with which its documents are drawn;
+a document is drawn if a hash of its id lies below it, so the same documents
+are drawn on every machine.
 
 Cells are counted with partial aggregation, so one source may hold any share of
 the rows, and stay distributed: only the number of tokens, the largest error
@@ -14,16 +16,22 @@ checkpointed.
 
 Defined results: a null source, language or topic is a value of its own
 ("null"); null and empty texts have one token; a target value that no document
-has is left out and the others scaled up; an empty table gives an empty table;
+has is left out and the others scaled up; a value with fewer tokens than its
+target asks of the budget is drawn whole, and what it lacks goes to the others
+in proportion to their targets (:func:`marginals` shows both); an empty table gives an empty table;
 rows that repeat an id are drawn or left together.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import logging
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._native import saved, text_of
 
+log = logging.getLogger("strandwise")
+
 ROUNDS, TOLERANCE = 8, 5e-3
 #: Share of the tokens to draw.
 BUDGET = 0.5
@@ -47,9 +55,8 @@ def tokens_of(text: str = "text") -> Column:
     return (F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1).cast("double")
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float] | float] = TARGETS, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """``cells`` (the dimensions, tokens) with a column weight whose marginals meet the targets; weights sum to 1."""
-    total = cells.agg(F.sum("tokens").alias("t")).first()["t"] or 1.0
+def _goals(cells: DataFrame, targets: dict[str, dict[str, float] | float], total: float) -> dict[str, DataFrame]:
+    """For each dimension: its values and their goals, which sum to 1."""
     goals = {}
     for name, target in targets.items():
         shares = cells.groupBy(name).agg((F.sum("tokens") / total).alias("share"))
@@ -61,20 +68,72 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float] | float] = TARGET
         goals[name] = saved(shares)
         norm = goals[name].agg(F.sum("goal").alias("g")).first()["g"] or 1.0
         goals[name] = goals[name].select(name, (F.col("goal") / norm).alias("goal"))
-    now = saved(cells.withColumn("weight", F.col("tokens") / total))
+    return goals
+
+
+def _attainable(cells: DataFrame, name: str, goal: DataFrame) -> DataFrame:
+    """Goals of at most what the value's cells can give; the others, in proportion, make up for it."""
+    rows = saved(goal.join(cells.groupBy(name).agg(F.sum("cap").alias("most")), name))
+    factor, before = 1.0, None
+    while factor != before:
+        whole = F.lit(factor) * F.col("goal") >= F.col("most")
+        x = rows.agg(F.sum(F.when(whole, F.col("most")).otherwise(0.0)).alias("most"), F.sum(F.when(whole, 0.0).otherwise(F.col("goal"))).alias("goal")).first()
+        before, factor = factor, max(factor, (1 - x["most"]) / x["goal"]) if x["goal"] else factor
+    return rows.select(name, F.least(F.lit(factor) * F.col("goal"), "most").alias("goal"))
+
+
+def _factors(now: DataFrame, name: str, goal: DataFrame) -> DataFrame:
+    """(value, f, e): what to scale its weights by so that they, each at most its cap, meet the goal; the relative error before."""
+    order = Window.partitionBy(name).orderBy(F.desc("_r"), *sorted(c for c in now.columns if c not in (name, "weight", "cap")))
+    rows = now.join(goal, name).withColumn("_r", F.try_divide("weight", "cap"))
+    # in order of weight over cap: if the cells before give all, this factor is left to the others
+    given = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rest = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    rows = rows.withColumn("_n", F.row_number().over(order)).withColumn("_f", F.try_divide(F.col("goal") - given, rest))
+    first = F.min_by("_f", F.when(F.col("_f") * F.col("_r") <= 1, F.col("_n")))
+    every = F.try_divide(F.lit(1.0), F.min(F.when(F.col("_r") > 0, F.col("_r"))))
+    error = F.abs(F.try_divide(F.sum(F.least("weight", "cap")), F.max("goal")) - 1)
+    return rows.groupBy(name).agg(F.coalesce(first, every, F.lit(0.0)).alias("f"), F.coalesce(error, F.lit(0.0)).alias("e"))
+
+
+def rake(cells: DataFrame, targets: dict[str, dict[str, float] | float] = TARGETS, rounds: int = ROUNDS, tolerance: float = TOLERANCE, budget: float = 0.0) -> DataFrame:
+    """``cells`` (the dimensions, tokens) with a column weight whose marginals meet the targets; weights sum to 1.
+
+    With a budget, no weight is more than the cell's tokens are of that share
+    of all.  ``tolerance`` is relative to each target.
+    """
+    total = cells.agg(F.sum("tokens").alias("t")).first()["t"] or 1.0
+    goals = _goals(cells, targets, total)
+    rows = cells
+    for name, goal in goals.items():
+        rows = rows.join(goal.where("goal > 0").select(name), name, "left_semi")
+    rows = saved(rows.select(*cells.columns))
+    reach = rows.agg(F.sum("tokens").alias("t")).first()["t"] or 0.0
+    most = min(budget * total, reach) if budget else 0.0
+    now = saved(rows.withColumn("weight", F.col("tokens") / total).withColumn("cap", F.col("tokens") / most if most else F.lit(float("inf"))))
+    if most:
+        goals = {name: saved(_attainable(now, name, goal)) for name, goal in goals.items()}
+    worst = None
     for _ in range(rounds):
         error = F.lit(0.0)
         for k, (name, goal) in enumerate(goals.items()):
-            marginal = now.groupBy(name).agg(F.sum("weight").alias("m")).join(goal, name)
-            factor = marginal.select(name, F.when(F.col("m") > 0, F.col("goal") / F.col("m")).otherwise(0.0).alias("f"), F.abs(F.col("goal") - F.col("m")).alias("e"))
+            if most:
+                factor = _factors(now.select(*cells.columns, "weight", "cap"), name, goal)
+            else:
+                marginal = now.groupBy(name).agg(F.sum("weight").alias("m")).join(goal.where("goal > 0"), name)
+                factor = marginal.select(name, F.when(F.col("m") > 0, F.col("goal") / F.col("m")).otherwise(0.0).alias("f"), F.abs(F.col("m") / F.col("goal") - 1).alias("e"))
             now = now.join(factor, name).withColumn("weight", F.col("weight") * F.col("f")).withColumnRenamed("e", f"_e{k}").drop("f")
+            now = saved(now) if most else now  # each step reads the one before twice
             error = F.greatest(error, F.col(f"_e{k}"))
-        now = saved(now.select(*cells.columns, "weight", error.alias("_error")))
+        now = saved(now.select(*cells.columns, "weight", "cap", error.alias("_error")))
         worst = now.agg(F.max("_error").alias("e")).first()["e"]
         now = now.drop("_error")
         if worst is None or worst < tolerance:
             break
-    return now
+    else:
+        log.warning("raking: after %d rounds a target was still missed by %s of it", rounds, worst)
+    now = now.select(*cells.columns, F.least("weight", "cap").alias("weight"))
+    return now.unionByName(cells.join(now.select(*goals), list(goals), "left_anti").withColumn("weight", F.lit(0.0)))
 
 
 def calibrate(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
@@ -98,7 +157,7 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float] | float] = TARGETS,
     value = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
     rows = docs.select(F.col(doc_id).alias("id"), F.struct(*docs.columns).alias("row"), value(F.col(source)).alias("source"), value(F.col(lang)).alias("lang"), value(topic_of(text) if topic is None else topic).alias("topic"), tokens_of(text).alias("tokens"))
     cells = saved(rows.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")))
-    cells = saved(calibrate(rake(cells, targets), budget))
+    cells = saved(calibrate(rake(cells, targets, budget=budget), budget))
     rows = rows.join(cells.select("source", "lang", "topic", "p"), ["source", "lang", "topic"])
     spot = F.shiftrightunsigned(F.xxhash64(F.lit("draw"), F.col("id").cast("string")), 11) / F.lit(float(1 << 53))
     return rows.select("id", "row", "source", "lang", "topic", "tokens", "p", (spot < F.col("p")).alias("drawn"))
@@ -109,6 +168,19 @@ def report(docs: DataFrame, **options) -> DataFrame:
     return mix(docs, **options).select(F.col("id").alias("doc_id"), "source", "lang", "topic", F.col("tokens").cast("long").alias("tokens"), F.round("p", 6).alias("p"), "drawn")
 
 
+def marginals(mixed: DataFrame, targets: dict[str, dict[str, float] | float] = TARGETS) -> DataFrame:
+    """What :func:`mix` drew: dimension, value, present share, target, and shares of the tokens expected and drawn."""
+    t = F.col("tokens")
+    cells = saved(mixed.groupBy("source", "lang", "topic").agg(F.sum(t).alias("tokens"), F.sum(t * F.col("p")).alias("expected"), F.sum(F.when(F.col("drawn"), t).otherwise(0.0)).alias("drawn")))
+    x = cells.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("tokens", "expected", "drawn")]).first()
+    out = None
+    for name, goal in _goals(cells, targets, x["tokens"] or 1.0).items():
+        rows = cells.groupBy(name).agg(*[(F.sum(c) / (x[c] or 1.0)).alias(c) for c in ("tokens", "expected", "drawn")]).join(goal, name)
+        rows = rows.select(F.lit(name).alias("dimension"), F.col(name).alias("value"), F.col("tokens").alias("present"), F.col("goal").alias("target"), "expected", "drawn")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def sample(docs: DataFrame, **options) -> DataFrame:
     """The documents drawn, with all their columns."""
     return mix(docs, **options).where("drawn").select("row.*")
