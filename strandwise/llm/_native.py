@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import string
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -20,27 +23,59 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
+def checkpoint_root(spark: SparkSession) -> str:
+    """The shared folder that the session names; on a cluster there has to be one, for executors don't share temporary ones."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="strandwise-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
 def saved(frame: DataFrame) -> DataFrame:
     """A reliable checkpoint, in the shared folder that the session names; lost executors don't lose it."""
     spark = frame.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandwise-"))
+        spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
     return frame.checkpoint()
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandwise-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir."""
+    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(frame: DataFrame, name: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder, so that later readers prune its columns."""
     path = shared_folder(frame.sparkSession, name)
     frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    table = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    table.folder = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables made by :func:`written` that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int, size: int) -> Iterator[None]:
+    """Within it, plans hand Python workers at most so many rows and bytes at once; the caller's settings come back after."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def key_filter(keys: DataFrame, key: Column, bits: int) -> DataFrame:

@@ -1,9 +1,13 @@
 """Vectorised word and shingle hashing over Arrow string columns.
 
 Every function works on whole texts, in blocks of bounded size, and treats a
-null as the empty text.  Word identity is a 64-bit hash of the word's bytes and
-length; a table of 10^7 distinct words holds a collision with odds of about
-3 in a million.
+null as the empty text.  A word is identified by a 64-bit hash: its bytes are
+taken eight at a time, each eight is mixed with its place, and the sum is mixed
+with the length.  Words of the same length of up to eight bytes never collide;
+others do as random numbers would, so a table of 10^7 distinct words holds a
+collision with odds of about 3 in a million.  Where that isn't enough a second
+hash, of another seed, is compared as well.  Only pieces of fixed small length
+(n-grams, vocabulary pieces) use the polynomial of :func:`substring_hashes`.
 """
 
 from __future__ import annotations
@@ -112,7 +116,26 @@ def _cut(data: np.ndarray, at: int, is_word: np.ndarray, lower: np.ndarray) -> i
     return end
 
 
-def words(data: np.ndarray, off: np.ndarray, kind: WordClass = SPACED) -> Words:
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+_GOLD, _SIZE = np.array([0x9E3779B97F4A7C15], U64), np.array([0xD6E8FEB86659FD93], U64)
+
+
+def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes start..end of each run."""
+    if not len(start):
+        return np.zeros(0, U64)
+    size = end - start
+    # the eight bytes from every place on, without a copy
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+    many = np.maximum((size + 7) >> 3, 1)
+    first = np.cumsum(many) - many
+    step = np.arange(int(many.sum())) - np.repeat(first, many)
+    x = eight[np.repeat(start, many) + 8 * step] & _KEEP[np.minimum(np.repeat(size, many) - 8 * step, 8)]
+    x = mix(x + (step.astype(U64) + U64(1 + (seed << 32))) * _GOLD)
+    return mix(np.add.reduceat(x, first) + size.astype(U64) * _SIZE)
+
+
+def words(data: np.ndarray, off: np.ndarray, kind: WordClass = SPACED, seed: int = 0) -> Words:
     hashes, starts, ends, at = [], [], [], 0
     while at < len(data):
         end = _cut(data, at, kind.is_word, kind.lower)
@@ -126,11 +149,7 @@ def words(data: np.ndarray, off: np.ndarray, kind: WordClass = SPACED) -> Words:
         last[:-1] &= ~inside[1:]
         last[heads - 1] = inside[heads - 1]
         s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-        up, down = _powers(end - at)
-        v = _VALUE[low] * up[: end - at]
-        total = np.cumsum(v)
-        h = (total[e - 1] - total[s] + v[s]) * down[s]
-        hashes.append(mix(h ^ ((e - s).astype(U64) * U64(0xD6E8FEB86659FD93))))
+        hashes.append(run_hashes(low, s, e, seed))
         starts.append(s + at)
         ends.append(e + at)
         at = end
@@ -223,16 +242,12 @@ def sample_texts(rows, per_class: int) -> list[tuple[str, str]]:
     return sorted(((str(r["label"]), r["text"]) for r in picked.select("label", "text").toLocalIterator()))
 
 
-def segment_hashes(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def segment_hashes(data: np.ndarray, bounds: np.ndarray, seed: int = 0) -> np.ndarray:
     """Hashes of the bytes between consecutive bounds, which cover all of the data."""
     out = np.empty(len(bounds) - 1, U64)
     i = 0
     while i < len(out):
         j = min(len(out), max(i + 1, int(np.searchsorted(bounds, bounds[i] + BLOCK, "right")) - 1))
-        s, e = bounds[i:j] - bounds[i], bounds[i + 1 : j + 1] - bounds[i]
-        up, down = _powers(int(e[-1]) + 1)
-        v = _VALUE[data[bounds[i] : bounds[j]]] * up[: e[-1]]
-        total = np.concatenate([np.zeros(1, U64), np.cumsum(v)])
-        out[i:j] = mix((total[e] - total[s]) * down[s] ^ ((e - s).astype(U64) * U64(0xD6E8FEB86659FD93)))
+        out[i:j] = run_hashes(data[bounds[i] : bounds[j]], bounds[i:j] - bounds[i], bounds[i + 1 : j + 1] - bounds[i], seed)
         i = j
     return out

@@ -9,20 +9,21 @@ parts alike.  So a set signs, for each partition and each subset of n2 - K2
 parts, its elements there; similar sets share a signature.  Empty subsets sign
 only where a set has so many of them that this could lose a partner.
 
-1. Signatures are counted; those of one row are dropped by a bitmap of fixed
-   size, and those of one distinct set after that.  Equal sets are one node.
-2. Members of a signature are keyed by the signature's smallest node, and such
-   a group is compared in blocks: a sketch of half a byte per domain part bounds
-   the difference of two sets from below.  Round one hands on the links of a
-   spanning forest of each block; they are verified on the full sets.  A block
-   whose links all hold has no more to find.  Of the others, round two hands
-   on all pairs that pass the sketch, lie in different components and weren't
-   tried before; it ends the search, for every similar pair is then tried or
-   inside a component.
-
-Nothing is capped or sampled.  Groups of copies are one node; large groups of
-near copies meet in blocks of BLOCK rows; joins on hot keys are left to
-adaptive execution, with counts pre-aggregated.
+1. Rows (signature, set) are exchanged once, by signature; a signature's smallest
+   set becomes the representative of the others.  Signatures that a large share
+   of all sets have are found by counts of hashed spots and go another way:
+   representatives by partial aggregation, and a join that adaptive execution
+   can split.  Equal sets are one node, and sign once a task.
+2. Each set is compared with one representative, on the whole sets, and links
+   are united; then with the others from which components still part it.
+3. What is left are members that lie in another component than a representative
+   of theirs.  They, and they alone, are compared with all members of that group,
+   block by block; a block holds about BLOCK_ITEMS elements a side, a sketch
+   passes on the pairs worth an exact comparison, and pairs that links join
+   meanwhile are left out.  So every similar pair is compared, or joined by links.
+
+Nothing is capped or sampled.  A representative's group is dealt to tasks of
+bounded size.  Tables are deleted once nothing reads them.
 
 Shingles are identified by 64-bit hashes.  Defined results: null texts and
 texts without words have the empty set, linked with nothing; a text of fewer
@@ -40,9 +41,9 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._native import key_filter, passes, saved, written
+from ._native import dropped, key_filter, passes, saved, small_batches, written
 from ._text import SPACED, U64, mix, shingles, spans, text_bytes, words
 from .components import connected
 
@@ -50,11 +51,16 @@ from .components import connected
 N2, K2 = 2, 1
 #: A band's largest size is this many times its smallest.
 RATIO = 1.6
-BLOCK = 1024
-SIGNATURE_BITS, ID_BITS = 1 << 27, 1 << 24
+#: Elements on each side of a block, and text bytes that a representative meets in one task.
+BLOCK_ITEMS, GROUP_BYTES = 1 << 19, 8 << 20
+ID_BITS = 1 << 24
+#: Signatures are counted in so many spots; one with HOT_TIMES the mean, and HOT_ROWS, is hot.
+SPOTS, HOT_TIMES, HOT_ROWS = 1 << 16, 16, 1 << 20
 SLICE_BYTES = 2 << 20
-#: Rows that Spark hands to a Python worker at once.
-ROWS = 2000
+#: Sets that a task remembers having signed.
+SEEN = 100_000
+#: Rows and bytes that Spark hands to a Python worker at once.
+ROWS, BYTES = 2000, 4 << 20
 
 
 class Band(NamedTuple):
@@ -118,14 +124,13 @@ class Scheme:
             out.append(s if keep_empty else s[full[:, list(some)].any(1)])
         return np.concatenate(out)
 
-    def sketch(self, x: np.ndarray, c: int) -> bytes:
-        """Half a byte for each of 4k parts of the domain; unlike parts hold differing elements, one at least each."""
-        cells = max(64, 4 * self.band(c).differ)  # an even number
-        y = self.placed(x, c)
+    def sketch(self, x: np.ndarray, most: int) -> np.ndarray:
+        """A byte for each of 4 * most parts of the domain; unlike parts hold differing elements, one at least each."""
+        cells = max(64, 4 * most)
+        y = self.placed(x, 0)
         at = np.searchsorted(((y >> U64(32)) * U64(cells)) >> U64(32), np.arange(cells + 1, dtype=U64))
         sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(y ^ U64(0xE7037ED1A0B428DB)))])
-        half = (mix(sums[at[1:]] - sums[at[:-1]]) >> U64(60)).astype(np.uint8)
-        return (half[::2] | half[1::2] << 4).tobytes()
+        return (mix(sums[at[1:]] - sums[at[:-1]]) >> U64(56)).astype(np.uint8)
 
     def similar(self, a: np.ndarray, b: np.ndarray) -> bool:
         common = len(np.intersect1d(a, b, assume_unique=True))
@@ -148,188 +153,212 @@ def sets_of(batch: pa.RecordBatch, size: int) -> Iterator[tuple[pa.Array, list[n
 
 def _signer(scheme: Scheme):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in (x for batch in batches for x in sets_of(batch, scheme.size)):
-            row, node, n, band, sigs = [], [], [], [], []
-            for d, x in enumerate(sets):
-                name = node_of(x) if len(x) else None
-                for c in scheme.bands(len(x)) if len(x) else [-1]:
-                    row.append(d)
+        seen: set[int] = set()
+        none = np.zeros(0, U64)
+        for batch in batches:
+            for ids, sets in sets_of(batch, scheme.size):
+                node, n, sigs = [], [], []
+                for x in sets:
+                    name = node_of(x) if len(x) else None
                     node.append(name)
                     n.append(len(x))
-                    band.append(c)
-                    sigs.append(scheme.signatures(x, c) if len(x) else np.zeros(0, U64))
-            own = np.ones(len(row), bool)
-            own[1:] = np.diff(row) > 0
-            off = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(row, pa.int64())), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(own), pa.array(band, pa.int32()), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(sigs).view(np.int64)))],
-                names=["id", "node", "n", "own", "band", "sigs"],
-            )
+                    if name is None or name in seen:
+                        sigs.append(none)
+                        continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(name)
+                    sigs.append(np.concatenate([scheme.signatures(x, c) for c in scheme.bands(len(x))]))
+                off = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
+                rows = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(sigs).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(node, pa.int64()), pa.array(n, pa.int64()), rows], names=["id", "node", "n", "sigs"])
 
     return run
 
 
-def _sketcher(scheme: Scheme):
+def _namer(scheme: Scheme):
+    """(node, text) of rows (id, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in (x for batch in batches for x in sets_of(batch, scheme.size)):
-            node, band, n, sketch, items = [], [], [], [], []
-            for x in sets:
-                for k, c in enumerate(scheme.bands(len(x)) if len(x) else []):
-                    node.append(node_of(x))
-                    band.append(c)
-                    n.append(len(x))
-                    sketch.append(scheme.sketch(x, c))
-                    items.append(None if k else x.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(band, pa.int32()), pa.array(n, pa.int64()), pa.array(sketch, pa.binary()), pa.array(items, pa.binary())], names=["node", "band", "n", "sketch", "items"])
+        for batch in batches:
+            at = 0
+            for ids, sets in sets_of(batch, scheme.size):
+                names = pa.array([node_of(x) if len(x) else None for x in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([names, batch.column(1).slice(at, len(ids))], names=["node", "text"])
+                at += len(ids)
 
     return run
 
 
-def block_pairs(scheme: Scheme, rows: list[tuple], cross: bool, forest: bool) -> list[tuple[int, int]]:
-    """Pairs of a block's rows (node, side, n, component, sketch) that the sketch lets through.
+def _matcher(scheme: Scheme):
+    """Over rows (rep, salt, node, text) sorted so that each group's representative comes first: (a, b, similar)."""
 
-    ``forest``: only those that join what isn't joined yet; else all of different components.
-    """
-    node = np.array([r[0] for r in rows])
-    side = np.array([r[1] for r in rows])
-    n = np.array([r[2] for r in rows])
-    label = np.unique(np.array([r[3] for r in rows]), return_inverse=True)[1]
-    packed = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
-    marks = np.hstack([packed & 15, packed >> 4])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, np.zeros(0, U64)
+        for b in batches:
+            rep, salt, node = (b.column(i).to_pylist() for i in range(3))
+            at, out = 0, []
+            for _, sets in sets_of(b.select([2, 3]), scheme.size):
+                for x in sets:
+                    if rep[at] == node[at]:
+                        now, own = (rep[at], salt[at]), x
+                    elif now == (rep[at], salt[at]):
+                        out.append((rep[at], node[at], scheme.similar(own, x)))
+                    at += 1
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "similar"])
+
+    return run
+
+
+def block_links(scheme: Scheme, rows: list[tuple[int, int, int, np.ndarray]]) -> list[tuple[int, int]]:
+    """Links of a block's rows (side, node, label, set) between side 0 and side 1 that join what isn't joined yet."""
+    side = np.array([r[0] for r in rows])
+    label = np.unique(np.array([r[2] for r in rows]), return_inverse=True)[1]
+    n = np.array([len(r[3]) for r in rows])
+    marks = np.vstack([scheme.sketch(r[3], int(scheme.differ(2 * int(np.median(n))))) for r in rows])
     out = []
-    for i in range(len(rows) - 1):
-        rest = np.arange(i + 1, len(rows))
-        ok = label[rest] != label[i]
-        if cross:
-            ok &= side[rest] != side[i]
-        rest = rest[ok]
+    for i in np.flatnonzero(side == 0):
+        rest = np.flatnonzero((side == 1) & (label != label[i]))
         rest = rest[np.minimum(n[rest], n[i]) * scheme.den >= np.maximum(n[rest], n[i]) * scheme.num]
         if len(rest):
             rest = rest[np.count_nonzero(marks[rest] != marks[i], axis=1) <= scheme.differ(n[rest] + n[i])]
         for j in rest:
-            if label[i] != label[j]:
-                out.append((int(node[i]), int(node[j])))
-                if forest:
-                    label[label == label[j]] = label[i]
+            if label[i] != label[j] and scheme.similar(rows[i][3], rows[j][3]):
+                out.append((rows[i][1], rows[j][1]))
+                label[label == label[j]] = label[i]
     return out
 
 
-def pairs_batch(rows: list[tuple]) -> pa.RecordBatch:
-    names = ["band", "rep", "i", "j", "a", "b"]
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array([r[m] for r in rows], t) for m, t in enumerate(kinds)], names=names)
-
-
-def _comparer(scheme: Scheme, forest: bool):
-    """Over rows sorted by block: band, rep, i, j, node, side, n, label, sketch."""
+def _comparer(scheme: Scheme):
+    """Over rows sorted by block: rep, i, j, side, label, node, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for b in batches:
-                yield from zip(*(c.to_pylist() for c in b.columns))
+                keys = zip(*(b.column(i).to_pylist() for i in range(6)))
+                for _, sets in sets_of(b.select([5, 6]), scheme.size):
+                    for x in sets:
+                        rep, i, j, side, label, node = next(keys)
+                        yield (rep, i, j), (side, node, label, x)
 
-        out: list[tuple] = []
-        for key, own in groupby(rows(), key=lambda r: r[:4]):
-            out += [(*key, min(p), max(p)) for p in block_pairs(scheme, [r[4:] for r in own], key[2] != key[3], forest)]
-            if len(out) > 10_000:
-                yield pairs_batch(out)
-                out = []
-        yield pairs_batch(out)
-
-    return run
-
-
-def _verifier(scheme: Scheme):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            left, right = b.column(2), b.column(3)
-            ok = [scheme.similar(np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64)) for x, y in zip(left, right)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "similar"])
+        for _, own in groupby(rows(), key=lambda r: r[0]):
+            links = block_links(scheme, [r[1] for r in own])
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
 
 
 class Found(NamedTuple):
-    documents: DataFrame  # id, node, n; a row for each input row
-    nodes: DataFrame  # node, first (its smallest id), component (the smallest id reachable)
+    documents: DataFrame  # id, node, n, mark (a hash of the text); a row for each input row
+    nodes: DataFrame  # node, first (its smallest id), label (a node), component (the smallest id reachable)
     links: DataFrame  # a, b: verified pairs of nodes that join all components
 
 
+def stars(rows: DataFrame) -> DataFrame:
+    """Of rows (node, sig): (rep, node), each node with the smallest one of each signature of its."""
+    spot = F.pmod("sig", F.lit(SPOTS)).alias("spot")
+    counts = saved(rows.groupBy(spot).agg(F.count(F.lit(1)).alias("c")))
+    limit = max(HOT_ROWS, HOT_TIMES * (counts.agg(F.avg("c").alias("m")).first()["m"] or 0))
+    hot = counts.where(F.col("c") >= limit).select("spot")  # SPOTS / HOT_TIMES rows at most
+    some = hot.limit(1).count() > 0
+    cold = rows.withColumn("spot", spot).join(F.broadcast(hot), "spot", "left_anti") if some else rows
+    out = cold.select("node", F.min("node").over(Window.partitionBy("sig")).alias("rep")).where("rep < node").select("rep", "node")
+    if some:
+        warm = rows.withColumn("spot", spot).join(F.broadcast(hot), "spot", "left_semi").select("sig", "node")
+        reps = warm.groupBy("sig").agg(F.min("node").alias("rep"), F.max("node").alias("last")).where("rep < last").select("sig", "rep")
+        out = out.unionByName(warm.join(reps, "sig").where("rep < node").select("rep", "node"))
+    return out.distinct()
+
+
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100) -> Found:
     """Links of all documents whose sets' Jaccard similarity is num / den or more."""
-    scheme = Scheme(size, num, den)
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
+    with small_batches(docs.sparkSession, ROWS, BYTES):
+        return _join(docs, doc_id, text, Scheme(size, num, den))
+
+
+def _join(docs: DataFrame, doc_id: str, text: str, scheme: Scheme) -> Found:
     own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     kind = own.schema["id"].dataType.simpleString()
-    signed = written(own.mapInArrow(_signer(scheme), f"id {kind}, node long, n long, own boolean, band int, sigs array<long>"), "signed")
-    documents = signed.where("own").select("id", "node", "n")
-    first = saved(documents.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("first")))
-
-    # 1. signatures of more than one distinct set, and their members
-    rows = signed.select("node", "band", F.explode("sigs").alias("sig"))
-    often = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    rows = passes(rows, F.col("sig"), key_filter(often, F.col("sig"), SIGNATURE_BITS), SIGNATURE_BITS, "often").where("often").drop("often")
-    rows = written(rows, "members")
-    shared = saved(rows.groupBy("sig").agg(F.min("node").alias("rep"), F.max("node").alias("last")).where("rep < last").select("sig", "rep"))
-    stars = written(rows.join(shared, "sig").select("band", "rep", "node").distinct(), "stars")
-
-    # 2. the members' sets, from one document each
-    chosen = stars.select("node").distinct().join(first, "node").select("node", F.col("first").alias("id"))
+    marked = own.select(F.struct("id", _mark("text").alias("mark")).alias("id"), "text")
+    signed = written(marked.mapInArrow(_signer(scheme), f"id struct<id:{kind},mark:bigint>, node long, n long, sigs array<long>"), "signed")
+    documents = written(signed.select("id.id", "id.mark", "node", "n"), "documents")
+    first = saved(documents.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("first"), F.any_value("n").alias("n")))
+    found = written(stars(signed.select("node", F.explode("sigs").alias("sig"))), "stars")
+    dropped(signed)
+
+    # a text of each node that has a partner, and the first of its representatives
+    reps = found.select("rep").distinct().select(F.col("rep").alias("node"), F.lit(True).alias("is_rep"))
+    mates = found.groupBy("node").agg(F.min("rep").alias("rep"))
+    chosen = saved(mates.join(reps, "node", "full").join(first, "node").select("node", "rep", F.coalesce("is_rep", F.lit(False)).alias("is_rep"), F.col("first").alias("id")))
     wanted = passes(own, F.col("id"), key_filter(chosen, F.col("id"), ID_BITS), ID_BITS, "wanted").where("wanted").select("id", "text")
-    wanted = wanted.join(chosen.select("id").distinct(), "id", "left_semi")
-    sets = written(wanted.select("id", "text").mapInArrow(_sketcher(scheme), "node long, band int, n long, sketch binary, items binary"), "sets")
-
-    # blocks of the groups, without regard to components yet
-    many = saved(stars.groupBy("band", "rep").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
-    rows = stars.join(many, ["band", "rep"]).withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", "rep", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "side")
-    blocks = written(rows, "blocks")
-
-    labels = first.select("node", F.col("node").alias("label"))
-    found = _passing(scheme, blocks, labels, sets, True)
-    tried = _tested(scheme, found.select("a", "b").distinct(), sets)
+    named = wanted.mapInArrow(_namer(scheme), "node long, text string").groupBy("node").agg(F.any_value("text").alias("text"))
+    texts = written(named.join(chosen.drop("id"), "node").select("node", "rep", "is_rep", "text"), "texts")
+
+    # each node with one representative, then with the others that links don't join it to
+    tried = _tested(scheme, texts, reps.select("node"))
     links = tried.where("similar").select("a", "b")
-    # a block whose links were all verified has no more to find
-    failed = tried.where("NOT similar").select("a", "b")
-    again = saved(found.join(failed, ["a", "b"], "left_semi").select(*BLOCK_KEY).distinct())
-    if again.limit(1).count():
-        blocks = written(blocks.join(again, BLOCK_KEY, "left_semi"), "again")
-        found = _passing(scheme, blocks, _labelled(first, links), sets, False)
-        more = _tested(scheme, found.select("a", "b").distinct().join(failed, ["a", "b"], "left_anti"), sets)
-        links = saved(links.unionByName(more.where("similar").select("a", "b")))
     labels = _labelled(first, links)
+    ends = found.join(labels.select(F.col("node").alias("rep"), F.col("label").alias("rep_label")), "rep").join(labels, "node")
+    apart = saved(ends.where("label <> rep_label").select("rep", "node").join(mates, ["rep", "node"], "left_anti"))
+    if apart.limit(1).count():
+        nodes = apart.select("node").unionByName(apart.select(F.col("rep").alias("node"))).distinct()
+        few = passes(texts, F.col("node"), key_filter(nodes, F.col("node"), ID_BITS), ID_BITS, "wanted").where("wanted").select("node", "text")
+        few = apart.select("node", "rep", F.lit(False).alias("is_rep")).unionByName(apart.select(F.col("rep").alias("node"), F.lit(None).cast("long").alias("rep"), F.lit(True).alias("is_rep")).distinct()).join(few, "node")
+        links = saved(links.unionByName(_tested(scheme, few, apart.select(F.col("rep").alias("node")).distinct()).where("similar").select("a", "b")))
+        labels = _labelled(first, links)
+        more = _left_over(scheme, found, labels, first, texts)
+        if more is not None:
+            links = saved(links.unionByName(more))
+            labels = _labelled(first, links)
     names = labels.join(first, "node")
     least = names.groupBy("label").agg(F.min("first").alias("component"))
-    nodes = saved(names.join(least, "label").select("node", "first", "component"))
+    nodes = written(names.join(least, "label").select("node", "first", "label", "component"), "nodes")
+    dropped(found, texts)
     return Found(documents, nodes, links)
 
 
-BLOCK_KEY = ["band", "rep", "i", "j"]
+def _mark(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def _labelled(first: DataFrame, links: DataFrame) -> DataFrame:
     roots = connected(links).select("node", F.col("root").alias("label"))
-    return first.select("node").join(roots, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-
-
-def _passing(scheme: Scheme, blocks: DataFrame, labels: DataFrame, sets: DataFrame, forest: bool) -> DataFrame:
-    rows = blocks.join(labels, "node")
-    # a block whose rows are all of one component has nothing left to compare
-    mixed = rows.groupBy("band", "rep", "i", "j").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band", "rep", "i", "j")
-    rows = rows.join(mixed, ["band", "rep", "i", "j"], "left_semi").join(sets.select("node", "band", "n", "sketch"), ["node", "band"])
-    rows = rows.select(*BLOCK_KEY, "node", "side", "n", "label", "sketch")
-    return saved(rows.repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY).mapInArrow(_comparer(scheme, forest), "band int, rep long, i int, j int, a long, b long"))
-
-
-def _tested(scheme: Scheme, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    pairs = saved(pairs)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    items = sets.where("items IS NOT NULL").select("node", "items")
-    items = passes(items, F.col("node"), key_filter(ends, F.col("node"), ID_BITS), ID_BITS, "wanted").where("wanted").select("node", "items")
-    full = pairs.join(items.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
-    full = full.join(items.select(F.col("node").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
-    return saved(full.mapInArrow(_verifier(scheme), "a long, b long, similar boolean").distinct())
+    return saved(first.select("node").join(roots, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+
+
+def _tested(scheme: Scheme, texts: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b, similar) of texts (node, rep, is_rep, text): each node against its representative."""
+    sizes = saved(texts.where("rep IS NOT NULL").groupBy("rep").agg(F.sum(F.octet_length("text")).alias("size")))
+    total = sizes.agg(F.sum("size").alias("s")).first()["s"] or 0
+    part = max(GROUP_BYTES, total // 10_000)
+    # 10 000 rows at most; all other groups meet in one task each
+    large = sizes.where(F.col("size") > part).select("rep", F.ceil(F.col("size") / part).cast("int").alias("parts"))
+    members = texts.where("rep IS NOT NULL").join(F.broadcast(large), "rep", "left").select("rep", F.coalesce(F.pmod(F.xxhash64("node"), "parts"), F.lit(0)).cast("int").alias("salt"), "node", "text")
+    first = texts.where("is_rep").select(F.col("node").alias("rep"), "node", "text").join(F.broadcast(large), "rep", "left")
+    first = first.select("rep", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("salt"), "node", "text")
+    rows = members.unionByName(first).withColumn("o", F.col("rep") != F.col("node"))
+    rows = rows.repartition("rep", "salt").sortWithinPartitions("rep", "salt", "o").select("rep", "salt", "node", "text")
+    return saved(rows.mapInArrow(_matcher(scheme), "a long, b long, similar boolean"))
+
+
+def _left_over(scheme: Scheme, found: DataFrame, labels: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """Links of members that lie in another component than their representative, to all members of its group."""
+    both = found.unionByName(found.select("rep", F.col("rep").alias("node")).distinct()).join(labels, "node").join(first.select("node", "n"), "node")
+    both = both.join(labels.select(F.col("node").alias("rep"), F.col("label").alias("rep_label")), "rep").withColumn("left", F.col("label") != F.col("rep_label"))
+    blocks = lambda n: F.ceil(n / BLOCK_ITEMS).cast("int")
+    groups = saved(both.groupBy("rep").agg(blocks(F.sum(F.when(F.col("left"), F.col("n")))).alias("is"), blocks(F.sum("n")).alias("js")).where("is IS NOT NULL"))
+    if not groups.limit(1).count():
+        return None
+    both = saved(both.join(groups, "rep").select("rep", "is", "js", "left", "label", "node"))
+    deal = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = both.where("left").select("rep", deal("is").alias("i"), every("js").alias("j"), F.lit(0).alias("side"), "label", "node")
+    two = both.select("rep", every("is").alias("i"), deal("js").alias("j"), F.lit(1).alias("side"), "label", "node")
+    nodes = both.select("node").distinct()
+    few = passes(texts, F.col("node"), key_filter(nodes, F.col("node"), ID_BITS), ID_BITS, "wanted").where("wanted").select("node", "text")
+    rows = one.unionByName(two).join(few, "node").select("rep", "i", "j", "side", "label", "node", "text")
+    rows = rows.repartition("rep", "i", "j").sortWithinPartitions("rep", "i", "j", "side", "node")
+    return saved(rows.mapInArrow(_comparer(scheme), "a long, b long"))
 
 
 def classes(found: Found) -> DataFrame:
@@ -342,6 +371,13 @@ def report(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> Dat
 
 
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents with the smallest id of their component, with all their columns; rows that share an id stay or go together."""
-    kept = classes(join(docs, doc_id, text, size, num, den)).where("id <=> component").select(F.col("id").alias("_kept")).distinct()
-    return docs.join(kept, docs[doc_id].eqNullSafe(kept["_kept"]), "left_semi")
+    """The documents with the smallest id of their component, with all their columns.
+
+    Rows without words stay.  Of a component whose ids are all null one text
+    stays; rows that agree in id and text stay or go together.
+    """
+    found = join(docs, doc_id, text, size, num, den)
+    rows = found.documents.join(found.nodes.select("node", "label", "component"), "node", "left")
+    stays = F.col("node").isNull() | (F.col("id") == F.col("component")) | (F.col("component").isNull() & (F.col("node") == F.col("label")))
+    kept = rows.where(stays).select(F.col("id").alias("_kept"), F.col("mark").alias("_mark")).distinct()
+    return docs.join(kept, docs[doc_id].eqNullSafe(kept["_kept"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == kept["_mark"]), "left_semi")

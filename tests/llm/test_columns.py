@@ -124,17 +124,20 @@ def brute_components(texts, size, num, den):
         x = (t or "").encode().lower().split()
         sets.append({tuple(x[i : i + size]) for i in range(len(x) - size + 1)} if len(x) >= size else {tuple(x)} if x else set())
     root = list(range(len(texts)))
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a and b and den * len(a & b) >= num * len(a | b)]
     for _ in texts:
-        for i, a in enumerate(sets):
-            for j, b in enumerate(sets):
-                if a and b and den * len(a & b) >= num * len(a | b):
-                    root[i] = root[j] = min(root[i], root[j])
+        before = list(root)
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+        if root == before:
+            break
     return {i: (len(s), root[i]) for i, s in enumerate(sets)}
 
 
-@pytest.mark.parametrize("size, num", [(4, 85), (5, 80)])
-def test_partenum_finds_every_link(spark, size, num, monkeypatch):
-    monkeypatch.setattr(partenum, "BLOCK", 8)
+@pytest.mark.parametrize("size, num, hot", [(4, 85, 1 << 20), (5, 80, 3)])
+def test_partenum_finds_every_link(spark, size, num, hot, monkeypatch):
+    for name, value in (("BLOCK_ITEMS", 300), ("GROUP_BYTES", 2000), ("HOT_ROWS", hot), ("HOT_TIMES", 0 if hot < 1000 else 16)):
+        monkeypatch.setattr(partenum, name, value)
     rng = random.Random(size)
     words = [f"w{i}" for i in range(400)]
     texts = list(ODD)
@@ -154,8 +157,51 @@ def test_partenum_finds_every_link(spark, size, num, monkeypatch):
 def test_partenum_on_empty_tables_and_removal(spark):
     assert partenum.report(docs(spark, ["a"]).limit(0)).count() == 0
     texts = ["one two three four five six", "One two three four five six", None, "", "other words are in this one here"]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     kept = partenum.remove(docs(spark, texts))
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3, 4] and kept.columns == docs(spark, texts).columns
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    # null ids: one with a partner that has an id goes, of others each text stays once; repeated ids may have other texts
+    texts = ["a b c d e f g", "A b c d e f g", "q r s t u v", "q r s t u v", "q r s t u w x", "lone one", "n n n", ""]
+    kept = partenum.remove(docs(spark, texts, [None, 5, None, None, 5, 9, None, None])).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in kept) == [(-1, ""), (-1, "n n n"), (-1, "q r s t u v"), (-1, "q r s t u v"), (5, "A b c d e f g"), (5, "q r s t u w x"), (9, "lone one")]
+
+
+def thue_morse(n):
+    """A word over a and b and its complement, which every polynomial modulo 2^64 takes for one."""
+    text = "a"
+    while len(text) < n:
+        text += text.translate(str.maketrans("ab", "ba"))
+    return text[:n], text[:n].translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    x, y = thue_morse(1024)
+    rest = " b c d e f g h i j k l"
+    assert len({r.component_id for r in partenum.report(docs(spark, [x, y, x])).collect()}) == 2
+    bench = spark.createDataFrame([(1, x), (2, x + rest)], "item_id long, text string")
+    found = {r.doc_id: r.n_hit for r in suffix_decontam.report(suffix_decontam.matches(docs(spark, [y, x, y + rest]), bench)).collect()}
+    assert found == {0: 0, 1: 1, 2: 11}
+    e = dac.Encoder(dac.public_tokenizer())
+    data, off = dac.text_bytes(pa.array([x, y, x + " " + y]))
+    assert [i.tolist() for i in e.encode(data, off)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in (x, y, x + " " + y)]
+
+
+def test_partenum_on_a_large_family(spark):
+    """5000 near copies of a text, none alike enough to the text itself, 60 components among them, and 5000 exact copies."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for n in range(5000):
+        own = list(base)
+        own[n % 60], own[(n + 30) % 60] = f"x{n}", "y"
+        texts.append(" ".join(own))
+    texts += [" ".join(base)] * 5000 + [" ".join(rng.sample(base, 60)) for _ in range(5)]
+    sample = [*range(0, 240), 5000]
+    want = brute_components([texts[i] for i in sample], 4, 85, 100)
+    assert all(sample[want[n][1]] == (i % 60 if i < 5000 else i) for n, i in enumerate(sample))
+    got = {r.doc_id: r.component_id for r in partenum.report(docs(spark, texts)).collect()}
+    assert all(got[i] == (i % 60 if i < 5000 else 5000 if i < 10000 else i) for i in range(10005))
 
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
