@@ -16,11 +16,13 @@ only where a set has so many of them that this could lose a partner.
    can split.  Equal sets are one node, and sign once a task.
 2. Each set is compared with one representative, on the whole sets, and links
    are united; then with the others from which components still part it.
-3. What is left are members that lie in another component than a representative
-   of theirs.  They, and they alone, are compared with all members of that group,
-   block by block; a block holds about BLOCK_ITEMS elements a side, a sketch
-   passes on the pairs worth an exact comparison, and pairs that links join
-   meanwhile are left out.  So every similar pair is compared, or joined by links.
+3. What is left are a representative's members in several components.  Those
+   outside the group's main component, and they alone, are compared with all
+   others, block by block; a block holds about BLOCK_ITEMS elements a side.  First only
+   sketches meet, which bound the difference of two sets from below; rows that
+   they leave a possible partner meet again as whole sets, and pairs that links
+   join meanwhile are left out.  So every similar pair is compared, or joined by
+   links.
 
 Nothing is capped or sampled.  A representative's group is dealt to tasks of
 bounded size.  Tables are deleted once nothing reads them.
@@ -52,11 +54,13 @@ N2, K2 = 2, 1
 #: A band's largest size is this many times its smallest.
 RATIO = 1.6
 #: Elements on each side of a block, and text bytes that a representative meets in one task.
-BLOCK_ITEMS, GROUP_BYTES = 1 << 19, 8 << 20
+BLOCK_ITEMS, GROUP_BYTES = 1 << 18, 8 << 20
 ID_BITS = 1 << 24
 #: Signatures are counted in so many spots; one with HOT_TIMES the mean, and HOT_ROWS, is hot.
 SPOTS, HOT_TIMES, HOT_ROWS = 1 << 16, 16, 1 << 20
 SLICE_BYTES = 2 << 20
+#: Bytes of a sketch, and elements of the largest set that has one (of more, hardly any pair could be told apart).
+CELLS, SKETCHED = 512, 3000
 #: Sets that a task remembers having signed.
 SEEN = 100_000
 #: Rows and bytes that Spark hands to a Python worker at once.
@@ -177,14 +181,15 @@ def _signer(scheme: Scheme):
 
 
 def _namer(scheme: Scheme):
-    """(node, text) of rows (id, text)."""
+    """(node, text, sketch) of rows (id, text); large sets have no sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for ids, sets in sets_of(batch, scheme.size):
                 names = pa.array([node_of(x) if len(x) else None for x in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([names, batch.column(1).slice(at, len(ids))], names=["node", "text"])
+                marks = pa.array([scheme.sketch(x, CELLS // 4).tobytes() if 0 < len(x) <= SKETCHED else None for x in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([names, batch.column(1).slice(at, len(ids)), marks], names=["node", "text", "sketch"])
                 at += len(ids)
 
     return run
@@ -210,15 +215,36 @@ def _matcher(scheme: Scheme):
     return run
 
 
+def hopeful(scheme: Scheme, rows: list[tuple]) -> list[int]:
+    """Nodes of a block's rows (side, node, label, n, sketch) that sizes and sketches leave a partner in another component.
+
+    Side 0 meets side 1; side 2 is both.
+    """
+    side = np.array([r[0] for r in rows])
+    label = np.unique(np.array([r[2] for r in rows]), return_inverse=True)[1]
+    n = np.array([r[3] for r in rows])
+    blind = np.array([r[4] is None for r in rows])
+    marks = np.frombuffer(b"".join(r[4] or bytes(CELLS) for r in rows), np.uint8).reshape(len(rows), CELLS)
+    found = np.zeros(len(rows), bool)
+    for i in np.flatnonzero(side != 1):
+        rest = np.flatnonzero((side != 0) & (label != label[i]))
+        rest = rest[np.minimum(n[rest], n[i]) * scheme.den >= np.maximum(n[rest], n[i]) * scheme.num]
+        if len(rest) and not blind[i]:
+            rest = rest[blind[rest] | (np.count_nonzero(marks[rest] != marks[i], axis=1) <= scheme.differ(n[rest] + n[i]))]
+        found[rest] = True
+        found[i] |= len(rest) > 0
+    return [rows[i][1] for i in np.flatnonzero(found)]
+
+
 def block_links(scheme: Scheme, rows: list[tuple[int, int, int, np.ndarray]]) -> list[tuple[int, int]]:
-    """Links of a block's rows (side, node, label, set) between side 0 and side 1 that join what isn't joined yet."""
+    """Links of a block's rows (side, node, label, set), as above, that join what isn't joined yet."""
     side = np.array([r[0] for r in rows])
     label = np.unique(np.array([r[2] for r in rows]), return_inverse=True)[1]
     n = np.array([len(r[3]) for r in rows])
     marks = np.vstack([scheme.sketch(r[3], int(scheme.differ(2 * int(np.median(n))))) for r in rows])
     out = []
-    for i in np.flatnonzero(side == 0):
-        rest = np.flatnonzero((side == 1) & (label != label[i]))
+    for i in np.flatnonzero(side != 1):
+        rest = np.flatnonzero((side != 0) & (label != label[i]))
         rest = rest[np.minimum(n[rest], n[i]) * scheme.den >= np.maximum(n[rest], n[i]) * scheme.num]
         if len(rest):
             rest = rest[np.count_nonzero(marks[rest] != marks[i], axis=1) <= scheme.differ(n[rest] + n[i])]
@@ -229,6 +255,21 @@ def block_links(scheme: Scheme, rows: list[tuple[int, int, int, np.ndarray]]) ->
     return out
 
 
+def _sifter(scheme: Scheme):
+    """Over rows sorted by block, rep, i, j, side, label, node, n, sketch: those worth an exact comparison."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                yield from zip(*(c.to_pylist() for c in b.columns))
+
+        for key, own in groupby(rows(), key=lambda r: r[:3]):
+            nodes = hopeful(scheme, [(r[3], r[5], r[4], r[6], r[7]) for r in own])
+            yield pa.RecordBatch.from_arrays([pa.array([x] * len(nodes), t) for x, t in zip(key, (pa.int64(), pa.int32(), pa.int32()))] + [pa.array(nodes, pa.int64())], names=[*BLOCK_KEY, "node"])
+
+    return run
+
+
 def _comparer(scheme: Scheme):
     """Over rows sorted by block: rep, i, j, side, label, node, text."""
 
@@ -248,6 +289,9 @@ def _comparer(scheme: Scheme):
     return run
 
 
+BLOCK_KEY = ["rep", "i", "j"]
+
+
 class Found(NamedTuple):
     documents: DataFrame  # id, node, n, mark (a hash of the text); a row for each input row
     nodes: DataFrame  # node, first (its smallest id), label (a node), component (the smallest id reachable)
@@ -291,8 +335,8 @@ def _join(docs: DataFrame, doc_id: str, text: str, scheme: Scheme) -> Found:
     mates = found.groupBy("node").agg(F.min("rep").alias("rep"))
     chosen = saved(mates.join(reps, "node", "full").join(first, "node").select("node", "rep", F.coalesce("is_rep", F.lit(False)).alias("is_rep"), F.col("first").alias("id")))
     wanted = passes(own, F.col("id"), key_filter(chosen, F.col("id"), ID_BITS), ID_BITS, "wanted").where("wanted").select("id", "text")
-    named = wanted.mapInArrow(_namer(scheme), "node long, text string").groupBy("node").agg(F.any_value("text").alias("text"))
-    texts = written(named.join(chosen.drop("id"), "node").select("node", "rep", "is_rep", "text"), "texts")
+    named = wanted.mapInArrow(_namer(scheme), "node long, text string, sketch binary").groupBy("node").agg(F.any_value("text").alias("text"), F.any_value("sketch").alias("sketch"))
+    texts = written(named.join(chosen.drop("id"), "node").select("node", "rep", "is_rep", "text", "sketch"), "texts")
 
     # each node with one representative, then with the others that links don't join it to
     tried = _tested(scheme, texts, reps.select("node"))
@@ -342,22 +386,30 @@ def _tested(scheme: Scheme, texts: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _left_over(scheme: Scheme, found: DataFrame, labels: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """Links of members that lie in another component than their representative, to all members of its group."""
-    both = found.unionByName(found.select("rep", F.col("rep").alias("node")).distinct()).join(labels, "node").join(first.select("node", "n"), "node")
-    both = both.join(labels.select(F.col("node").alias("rep"), F.col("label").alias("rep_label")), "rep").withColumn("left", F.col("label") != F.col("rep_label"))
+    """Links among a representative's members, all of which were compared with it or are joined to it.
+
+    Members outside the group's main component meet all of other components; a group of one component has nothing left.
+    """
+    both = found.join(labels, "node").join(first.select("node", "n"), "node").select("rep", "node", "label", "n")
+    parts = both.groupBy("rep", "label").agg(F.sum("n").alias("n"))
     blocks = lambda n: F.ceil(n / BLOCK_ITEMS).cast("int")
-    groups = saved(both.groupBy("rep").agg(blocks(F.sum(F.when(F.col("left"), F.col("n")))).alias("is"), blocks(F.sum("n")).alias("js")).where("is IS NOT NULL"))
-    if not groups.limit(1).count():
+    groups = parts.groupBy("rep").agg(F.max_by("label", F.struct("n", "label")).alias("main"), blocks(F.sum("n") - F.max("n")).alias("is"), blocks(F.sum("n")).alias("js")).where("is > 0")
+    both = saved(both.join(groups, "rep").select("rep", "is", "js", (F.col("label") != F.col("main")).alias("left"), "label", "node"))
+    if not both.limit(1).count():
         return None
-    both = saved(both.join(groups, "rep").select("rep", "is", "js", "left", "label", "node"))
     deal = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    one = both.where("left").select("rep", deal("is").alias("i"), every("js").alias("j"), F.lit(0).alias("side"), "label", "node")
-    two = both.select("rep", every("is").alias("i"), deal("js").alias("j"), F.lit(1).alias("side"), "label", "node")
-    nodes = both.select("node").distinct()
+    # a row of side 0 that also has side 1 in its block is there once, as side 2
+    one = both.where("left").select("rep", deal("is").alias("i"), every("js").alias("j"), deal("js").alias("own"), "label", "node").withColumn("side", F.when(F.col("j") == F.col("own"), 2).otherwise(0))
+    two = both.select("rep", every("is").alias("i"), deal("js").alias("j"), F.lit(1).alias("side"), "label", "node", "left", deal("is").alias("own")).where("NOT (left AND i = own)")
+    rows = written(one.select(*BLOCK_KEY, "side", "label", "node").unionByName(two.select(*BLOCK_KEY, "side", "label", "node")), "blocks")
+    sketched = rows.join(first.select("node", "n"), "node").join(texts.select("node", "sketch"), "node").select(*BLOCK_KEY, "side", "label", "node", "n", "sketch")
+    sketched = sketched.repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY, "side", "node")
+    worth = saved(sketched.mapInArrow(_sifter(scheme), "rep long, i int, j int, node long"))
+    nodes = worth.select("node").distinct()
     few = passes(texts, F.col("node"), key_filter(nodes, F.col("node"), ID_BITS), ID_BITS, "wanted").where("wanted").select("node", "text")
-    rows = one.unionByName(two).join(few, "node").select("rep", "i", "j", "side", "label", "node", "text")
-    rows = rows.repartition("rep", "i", "j").sortWithinPartitions("rep", "i", "j", "side", "node")
+    rows = rows.join(worth, [*BLOCK_KEY, "node"], "left_semi").join(few, "node").select(*BLOCK_KEY, "side", "label", "node", "text")
+    rows = rows.repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY, "side", "node")
     return saved(rows.mapInArrow(_comparer(scheme), "a long, b long"))
 
 
