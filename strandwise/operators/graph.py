@@ -47,7 +47,8 @@ def pieces(reads: DataFrame, k: int, at: DataFrame) -> DataFrame:
     hits = kmers(reads.select("read_id", "seq"), k).join(at.select(F.col("v").alias("kmer")), "kmer", "left_semi")
     hits = hits.groupBy("read_id").agg(F.sort_array(F.collect_list("pos")).alias("at"))
     rows = reads.join(hits, "read_id").where(F.size("at") > 1)
-    texts = F.expr(f"transform(slice(at, 1, size(at) - 1), (p, i) -> substring(seq, p + 1, at[i + 1] - p + {k}))")
+    rows = rows.withColumn("seq", F.col("seq").cast("binary"))
+    texts = F.expr(f"transform(slice(at, 1, size(at) - 1), (p, i) -> cast(substring(seq, p + 1, at[i + 1] - p + {k}) as string))")
     rows = rows.select(F.explode(texts).alias("t")).select(F.least("t", revcomp("t")).alias("t"))
     rows = rows.groupBy("t").agg(F.count(F.lit(1)).alias("cnt")).withColumn("rc", revcomp("t"))
     twice = F.when(F.col("t") == F.col("rc"), F.array(F.struct(F.col("t").alias("text"), (F.col("cnt") * 2).alias("cnt")))).otherwise(F.array(F.struct(F.col("t").alias("text"), F.col("cnt").alias("cnt")), F.struct(F.col("rc").alias("text"), F.col("cnt").alias("cnt"))))

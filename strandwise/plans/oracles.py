@@ -2,7 +2,8 @@
 
 Each statement starts from the tables alone.  Edges are walked by a recursive
 query over (k+1)-mers, so they share nothing with the engine's pieces and
-pointer jumping.
+pointer jumping.  Cycles without junctions are walked from every vertex; the
+walk from the one of least canonical hash is the cycle's edge.
 """
 
 from __future__ import annotations
@@ -24,21 +25,38 @@ both_s AS (SELECT read_id, '+' AS strand, seq FROM own UNION ALL SELECT read_id,
 
 def kp1(k: int, w: int) -> str:
     return f"""{reads(k, w)},
-kp1 AS (SELECT km, substr(km, 1, {k}) AS src, substr(km, 2, {k}) AS dst, count(*) AS cnt
+kp1 AS MATERIALIZED (SELECT km, substr(km, 1, {k}) AS src, substr(km, 2, {k}) AS dst, count(*) AS cnt
   FROM (SELECT substr(seq, i, {k + 1}) AS km FROM both_s, unnest(range(1, length(seq) - {k} + 1)) AS t(i)) GROUP BY km),
 deg AS (SELECT coalesce(o.v, n.v) AS v, coalesce(od, 0) AS out_deg, coalesce(idg, 0) AS in_deg
   FROM (SELECT src AS v, count(*) AS od FROM kp1 GROUP BY 1) o FULL JOIN (SELECT dst AS v, count(*) AS idg FROM kp1 GROUP BY 1) n ON o.v = n.v),
-junc AS (SELECT * FROM deg WHERE out_deg <> 1 OR in_deg <> 1)"""
+junc AS MATERIALIZED (SELECT * FROM deg WHERE out_deg <> 1 OR in_deg <> 1)"""
+
+
+def hash_limbs(x: str) -> str:
+    """The polynomial hash modulo 2^128 as four 32-bit limbs, the highest first, so that lists compare as the numbers do."""
+    t = ["a[4] * 239 + x[4]"]
+    for limb in (3, 2, 1):
+        t.append(f"a[{limb}] * 239 + (({t[-1]}) >> 32)")
+    low = [f"(({e}) & 4294967295)" for e in reversed(t)]
+    return f"list_reduce(list_prepend([0, 0, 0, 0]::BIGINT[], list_transform(string_split(translate({x}, 'ACGT', '0123'), ''), lambda d: [0, 0, 0, d::BIGINT])), lambda a, x: [{', '.join(low)}])"
 
 
 def edges(k: int, w: int) -> str:
-    """Edges between junctions: start, stop, text, size, cov."""
+    """All edges: start, stop, text, size, cov, twin, is_cycle."""
     return f"""{kp1(k, w)},
 walk AS (
   SELECT src AS start, dst AS cur, km AS text, 1::BIGINT AS size, cnt::BIGINT AS cov FROM kp1 WHERE src IN (SELECT v FROM junc)
   UNION ALL
   SELECT start, dst, text || right(km, 1), size + 1, cov + cnt FROM walk JOIN kp1 ON src = cur WHERE cur NOT IN (SELECT v FROM junc)),
-edges AS (SELECT start, cur AS stop, text, size, cov, {rc("text")} AS twin FROM walk WHERE cur IN (SELECT v FROM junc))"""
+lines AS MATERIALIZED (SELECT start, cur AS stop, text, size, cov FROM walk WHERE cur IN (SELECT v FROM junc)),
+passed AS (SELECT DISTINCT substr(text, i + 1, {k + 1}) AS km FROM lines, unnest(range(0, size)) AS t(i)),
+ring AS MATERIALIZED (SELECT * FROM kp1 WHERE km NOT IN (SELECT km FROM passed)),
+spot AS MATERIALIZED (SELECT src AS v, CASE WHEN f < r THEN list_append(f, 0) ELSE list_append(r, 1) END AS rank FROM (SELECT src, {hash_limbs("src")} AS f, {hash_limbs(rc("src"))} AS r FROM ring)),
+round AS (
+  SELECT src AS start, dst AS cur, km AS text, 1::BIGINT AS size, cnt::BIGINT AS cov, rank AS own, rank AS best FROM ring JOIN spot ON v = src
+  UNION ALL
+  SELECT start, dst, text || right(km, 1), size + 1, cov + cnt, own, least(best, rank) FROM round JOIN ring ON src = cur JOIN spot ON v = cur WHERE cur <> start),
+edges AS MATERIALIZED (SELECT *, {rc("text")} AS twin FROM (SELECT *, false AS is_cycle FROM lines UNION ALL SELECT start, cur, text, size, cov, true FROM round WHERE cur = start AND own = best))"""
 
 
 def hashed(k: int, w: int) -> str:
@@ -51,7 +69,7 @@ named AS (
   SELECT e.*, a.hash AS start_hash, a.canon AS start_canon, b.hash AS stop_hash, b.canon AS stop_canon, substr(twin, {k + 1}) AS twin_seq, substr(text, {k + 1}) AS seq,
     CASE WHEN a.hash <> b.hash THEN a.hash::HUGEINT < b.hash::HUGEINT WHEN a.canon = b.canon THEN a.canon ELSE substr(text, {k + 1}) <= substr(twin, {k + 1}) END AS is_canonical
   FROM edges e JOIN vname a ON a.v = start JOIN vname b ON b.v = stop),
-ids AS (SELECT *, CASE WHEN is_canonical THEN (CASE start_hash WHEN '0' THEN '' ELSE start_hash END) || (CASE WHEN start_canon THEN '1' ELSE '0' END) || seq[1]
+ids AS MATERIALIZED (SELECT *, CASE WHEN is_canonical THEN (CASE start_hash WHEN '0' THEN '' ELSE start_hash END) || (CASE WHEN start_canon THEN '1' ELSE '0' END) || seq[1]
   ELSE (CASE stop_hash WHEN '0' THEN '' ELSE stop_hash END) || (CASE WHEN stop_canon THEN '0' ELSE '1' END) || twin_seq[1] END AS edge_id FROM named)"""
 
 

@@ -119,46 +119,41 @@ def junctions(spark, sf_dir):
     return kmers.junctions(kept(spark, sf_dir), K).select("v", "out_deg", "in_deg")
 
 
-@query(f"WITH RECURSIVE {O.edges(K, W)} SELECT start, stop, text, size, cov FROM edges")
+@query(f"WITH RECURSIVE {O.edges(K, W)} SELECT start, stop, text, size, cov FROM edges WHERE NOT is_cycle")
 def unitigs(spark, sf_dir):
     g = built(spark, sf_dir)
     return g.edges.where("NOT is_cycle").select("start", "stop", F.concat("start", "seq").alias("text"), "size", "cov")
 
 
-@query(f"""WITH RECURSIVE {O.edges(K, W)}, on_edges AS (SELECT DISTINCT substr(text, i + 1, {K + 1}) AS km FROM edges, unnest(range(0, size)) AS t(i)),
-ring AS (SELECT * FROM kp1 WHERE km NOT IN (SELECT km FROM on_edges)),
-go AS (SELECT src AS s, dst AS cur, src AS low, 1::BIGINT AS size, cnt::BIGINT AS cov FROM ring UNION ALL
+@query(f"""WITH RECURSIVE {O.edges(K, W)}, go AS (SELECT src AS s, dst AS cur, src AS low, 1::BIGINT AS size, cnt::BIGINT AS cov FROM ring UNION ALL
   SELECT s, dst, least(low, src), size + 1, cov + cnt FROM go JOIN ring ON src = cur WHERE cur <> s)
 SELECT DISTINCT low AS lowest, size, cov FROM go WHERE cur = s""")
 def cycles(spark, sf_dir):
     """Junction-free cycles: the least k-mer text, the number of (k+1)-mers, their occurrences."""
-    g = built(spark, sf_dir)
-    text = F.concat("start", "seq")
-    low = F.array_min(F.transform(F.sequence(F.lit(1), F.col("size").cast("int")), lambda i: F.substring(text, i, F.lit(K))))
-    return g.edges.where("is_cycle").select(low.alias("lowest"), "size", "cov")
+    return built(spark, sf_dir).edges.where("is_cycle").select(_lowest().alias("lowest"), "size", "cov")
+
+
+def _lowest():
+    text = F.concat("start", "seq").cast("binary")
+    return F.array_min(F.transform(F.sequence(F.lit(1), F.col("size").cast("int")), lambda i: F.substring(text, i, F.lit(K)))).cast("string")
 
 
 @query(f"WITH RECURSIVE {O.hashed(K15, W)} SELECT edge_id, is_canonical, cov, size, cov / size AS coverage FROM ids")
 def edge_coverage(spark, sf_dir):
-    g = _linear(built(spark, sf_dir, K15))
+    g = built(spark, sf_dir, K15)
     return graph.named(g).select("edge_id", "is_canonical", "cov", "size", (F.col("cov") / F.col("size")).alias("coverage"))
 
 
-def _linear(g: graph.Graph) -> graph.Graph:
-    """Without junction-free cycles, which the SQL's walk leaves out; queries without SQL keep them."""
-    return g._replace(edges=g.edges.where("NOT is_cycle"))
-
-
 @query(f"WITH RECURSIVE {O.hashed(K15, W)} SELECT edge_id, text, cov AS kc FROM ids WHERE is_canonical")
 def gfa_segments(spark, sf_dir):
-    return sinks.gfa_segments(_linear(built(spark, sf_dir, K15)))
+    return sinks.gfa_segments(built(spark, sf_dir, K15))
 
 
 @query(f"""WITH RECURSIVE {O.hashed(K15, W)}
 SELECT a.edge_id AS from_id, CASE WHEN a.is_canonical AND a.text <> a.twin THEN '+' ELSE '-' END AS from_sign, b.edge_id AS to_id, CASE WHEN b.is_canonical THEN '+' ELSE '-' END AS to_sign, '{K15}M' AS overlap
 FROM ids a JOIN ids b ON a.stop = b.start WHERE b.start_canon""")
 def gfa_links(spark, sf_dir):
-    return sinks.gfa_links(_linear(built(spark, sf_dir, K15)))
+    return sinks.gfa_links(built(spark, sf_dir, K15))
 
 
 _SHOW = "CASE {0}_hash WHEN '0' THEN '' ELSE {0}_hash END || CASE WHEN {0}_canon THEN '1' ELSE '0' END"
@@ -167,7 +162,7 @@ _G = "printf('%g', cov / size)"
 
 @query(f"WITH RECURSIVE {O.hashed(K15, W)} SELECT edge_id, {_SHOW.format('start')} || '_' || {_SHOW.format('stop')} || '_' || size || '_' || {_G} AS body, text FROM ids")
 def fasta_edges(spark, sf_dir):
-    return sinks.fasta_edges(_linear(built(spark, sf_dir, K15)))
+    return sinks.fasta_edges(built(spark, sf_dir, K15))
 
 
 _DOT = "CASE WHEN {0}_canon THEN '' ELSE '-' END || ({0}_hash::HUGEINT % 100000)::VARCHAR"
@@ -175,16 +170,16 @@ _DOT = "CASE WHEN {0}_canon THEN '' ELSE '-' END || ({0}_hash::HUGEINT % 100000)
 
 @query(f"WITH RECURSIVE {O.hashed(K15, W)} SELECT {_DOT.format('start')} AS tail, {_DOT.format('stop')} AS head, size || '(' || {_G} || ')' AS label FROM ids")
 def dot_edges(spark, sf_dir):
-    return sinks.dot_edges(_linear(built(spark, sf_dir, K15)))
+    return sinks.dot_edges(built(spark, sf_dir, K15))
 
 
 @query(f"""WITH RECURSIVE {O.edges(K, W)}, vs AS (SELECT v, count(*) FILTER (d = 'o') AS o, count(*) FILTER (d = 'i') AS i FROM (SELECT start AS v, 'o' AS d FROM edges UNION ALL SELECT stop, 'i' FROM edges) GROUP BY v),
 pairs AS (SELECT * FROM vs WHERE v < {O.rc('v')}),
 iso AS (SELECT DISTINCT least(text, twin) AS t, size FROM edges WHERE start IN (SELECT v FROM vs WHERE o = 1 AND i = 0) AND stop IN (SELECT v FROM vs WHERE i = 1 AND o = 0))
 SELECT (SELECT count(*) // 2 FROM edges) AS edges, (SELECT sum(size)::BIGINT FROM edges) AS directed_size, (SELECT count(*) FROM pairs) AS vertices,
- (SELECT count(*) FROM pairs WHERE o + i = 1) AS ends, (SELECT count(*) FROM pairs WHERE o = 1 AND i = 1) AS unbranching, (SELECT count(*) FROM iso) AS isolated_edges, (SELECT coalesce(sum(size), 0)::BIGINT FROM iso) AS isolated_size""")
+ (SELECT count(*) FROM pairs WHERE o + i = 1) AS ends, (SELECT count(*) FROM pairs WHERE o = 1 AND i = 1) AS unbranching, (SELECT count(*) FROM iso) AS isolated_edges, (SELECT coalesce(sum(size + {K}), 0)::BIGINT FROM iso) AS isolated_size""")
 def graph_stats(spark, sf_dir):
-    g = _linear(built(spark, sf_dir))
+    g = built(spark, sf_dir)
     return stats.graph_stats(g._replace(vertices=graph.vertices_of(g.edges)))
 
 
@@ -193,36 +188,36 @@ _VS = f"{O.edges(K, W)}, vs AS (SELECT v, count(*) FILTER (d = 'o') AS o, count(
 
 @query(f"WITH RECURSIVE {_VS} SELECT least(d, 9) AS degree, count(*) AS cnt FROM (SELECT unnest([o, i]) AS d FROM vs WHERE v < {O.rc('v')}) GROUP BY 1")
 def degree_hist(spark, sf_dir):
-    g = _linear(built(spark, sf_dir))
+    g = built(spark, sf_dir)
     return stats.degree_histogram(g._replace(vertices=graph.vertices_of(g.edges)))
 
 
 @query(f"WITH RECURSIVE {_VS} SELECT least(o, 4) AS out_deg, least(i, 4) AS in_deg, count(*) AS cnt FROM vs GROUP BY 1, 2")
 def inout_matrix(spark, sf_dir):
-    g = _linear(built(spark, sf_dir))
+    g = built(spark, sf_dir)
     return stats.inout_matrix(g._replace(vertices=graph.vertices_of(g.edges)))
 
 
 @query(f"WITH RECURSIVE {O.edges(K, W)} SELECT least(cov // size, 99) AS coverage, least(size // 50, 29) AS size_bin, count(*) AS cnt, sum(size)::BIGINT AS total_size FROM edges GROUP BY 1, 2")
 def coverage_hist(spark, sf_dir):
-    return stats.coverage_histogram(_linear(built(spark, sf_dir)))
+    return stats.coverage_histogram(built(spark, sf_dir))
 
 
 @query(f'WITH RECURSIVE {O.aligned(K, W)} SELECT read_id, strand, idx::INTEGER AS idx, start, base, "left", "right", pos FROM aln')
 def read_alignments(spark, sf_dir):
-    g = _linear(built(spark, sf_dir))
+    g = built(spark, sf_dir)
     return alignment.align_reads(g, letters(spark, sf_dir), W)
 
 
 @query(f"WITH RECURSIVE {O.aligned(K, W)} SELECT CASE strand WHEN '+' THEN read_id::VARCHAR ELSE '-' || read_id END AS name, first(start ORDER BY idx) AS first, string_agg(base, '' ORDER BY idx) AS path FROM aln GROUP BY read_id, strand")
 def align_paths(spark, sf_dir):
-    g = _linear(built(spark, sf_dir))
+    g = built(spark, sf_dir)
     return alignment.paths(alignment.align_reads(g, letters(spark, sf_dir), W))
 
 
 @query(f"WITH RECURSIVE {O.aligned(K, W)} SELECT least(n, 999) AS segments, count(*) AS cnt FROM (SELECT count(*) AS n FROM aln GROUP BY read_id, strand) GROUP BY 1")
 def path_len_hist(spark, sf_dir):
-    g = _linear(built(spark, sf_dir))
+    g = built(spark, sf_dir)
     return stats.path_lengths(alignment.align_reads(g, letters(spark, sf_dir), W))
 
 
@@ -236,7 +231,7 @@ f AS (SELECT read_id, string_agg(CASE WHEN idx = low THEN substr(text, "left" +
   FROM (SELECT *, min(idx) OVER (PARTITION BY read_id) AS low FROM t) GROUP BY read_id)
 SELECT read_id, seq FROM f WHERE NOT bad""")
 def tip_correct(spark, sf_dir):
-    return alignment.tip_corrected(_degrees(_linear(built(spark, sf_dir))), letters(spark, sf_dir), W)
+    return alignment.tip_corrected(_degrees(built(spark, sf_dir)), letters(spark, sf_dir), W)
 
 
 def _degrees(g: graph.Graph) -> graph.Graph:
@@ -246,15 +241,21 @@ def _degrees(g: graph.Graph) -> graph.Graph:
 _LEAST = 2
 
 
-@query(f"""WITH RECURSIVE {O.edges(K, W)}, strong AS (SELECT * FROM edges WHERE cov / size >= {_LEAST}),
+@query(f"""WITH RECURSIVE {O.edges(K, W)}, strong AS MATERIALIZED (SELECT * FROM edges WHERE cov / size >= {_LEAST}),
 d2 AS (SELECT v, count(*) FILTER (d = 'o') AS o, count(*) FILTER (d = 'i') AS i FROM (SELECT start AS v, 'o' AS d FROM strong UNION ALL SELECT stop, 'i' FROM strong) GROUP BY v),
-j2 AS (SELECT v FROM d2 WHERE o <> 1 OR i <> 1),
-walk2 AS (SELECT start, stop AS cur, text, size, cov FROM strong WHERE start IN (SELECT v FROM j2)
-  UNION ALL SELECT w.start, s.stop, w.text || substr(s.text, {K + 1}), w.size + s.size, w.cov + s.cov FROM walk2 w JOIN strong s ON s.start = w.cur WHERE w.cur NOT IN (SELECT v FROM j2))
-SELECT start, cur AS stop, text, size, cov FROM walk2 WHERE cur IN (SELECT v FROM j2)""")
+j2 AS MATERIALIZED (SELECT v FROM d2 WHERE o <> 1 OR i <> 1),
+walk2 AS (SELECT start, stop AS cur, text, size, cov, start AS was FROM strong WHERE start IN (SELECT v FROM j2)
+  UNION ALL SELECT w.start, s.stop, w.text || substr(s.text, {K + 1}), w.size + s.size, w.cov + s.cov, s.start FROM walk2 w JOIN strong s ON s.start = w.cur WHERE w.cur NOT IN (SELECT v FROM j2)),
+ring2 AS MATERIALIZED (SELECT *, list_min(list_transform(range(1, size + 1), lambda i: substr(text, i, {K}))) AS low FROM strong WHERE start NOT IN (SELECT v FROM j2) AND start NOT IN (SELECT was FROM walk2)),
+go2 AS (SELECT start, stop AS cur, low, size, cov FROM ring2
+  UNION ALL SELECT g.start, r.stop, least(g.low, r.low), g.size + r.size, g.cov + r.cov FROM go2 g JOIN ring2 r ON r.start = g.cur WHERE g.cur <> g.start)
+SELECT start, cur AS stop, text, size, cov FROM walk2 WHERE cur IN (SELECT v FROM j2) UNION ALL SELECT DISTINCT low, low, NULL, size, cov FROM go2 WHERE cur = start""")
 def simplify(spark, sf_dir):
-    g = graph.filtered(_linear(built(spark, sf_dir)), _LEAST)
-    return g.edges.where("NOT is_cycle").select("start", "stop", F.concat("start", "seq").alias("text"), "size", "cov")
+    """Lines with their text; cycles by their least k-mer text, as they have no first base."""
+    found = graph.filtered(built(spark, sf_dir), _LEAST).edges
+    lines = found.where("NOT is_cycle").select("start", "stop", F.concat("start", "seq").alias("text"), "size", "cov")
+    rings = found.where("is_cycle").select(_lowest().alias("low"), "size", "cov")
+    return lines.unionByName(rings.select(F.col("low").alias("start"), F.col("low").alias("stop"), F.lit(None).cast("string").alias("text"), "size", "cov"))
 
 
 _REF = O.letters("benchmark", "item_id")
@@ -263,7 +264,7 @@ path AS (SELECT a.*, e.stop, e.size, e.cov, sum("right" - "left") OVER (PARTITIO
 
 
 def _reference(spark: SparkSession, sf_dir: str) -> tuple[graph.Graph, DataFrame]:
-    g = _linear(built(spark, sf_dir))
+    g = built(spark, sf_dir)
     return g, alignment.align(g, letters(spark, sf_dir, "benchmark", "item_id"))
 
 
@@ -293,7 +294,7 @@ go AS (SELECT DISTINCT v, 0::BIGINT AS dist FROM (SELECT v FROM seeds UNION ALL
 SELECT v, min(dist) AS dist FROM go GROUP BY v""")
 def neighbourhood(spark, sf_dir):
     """Around the starts of the five largest edges of mean coverage 2, 100 bases far."""
-    g = _linear(built(spark, sf_dir))
+    g = built(spark, sf_dir)
     seeds = g.edges.where(F.col("cov") / F.col("size") >= _LEAST).orderBy(F.desc("size"), "start").limit(5).select(F.col("start").alias("v"))
     return subgraph.neighbourhood(g, seeds, 100, _LEAST)
 
@@ -339,9 +340,9 @@ ex AS (SELECT s.read_id, s.strand, s.idx, s.start AS v, string_agg(j.base, '' OR
 index AS (SELECT v, ext, count(*) AS cnt FROM ex GROUP BY v, ext)"""
 
 
-def _index(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[graph.Graph, DataFrame]:
-    key = (spark.sparkContext.applicationId, sf_dir, "whole index" if whole else "index")
-    g = built(spark, sf_dir) if whole else _linear(built(spark, sf_dir))
+def _index(spark: SparkSession, sf_dir: str) -> tuple[graph.Graph, DataFrame]:
+    key = (spark.sparkContext.applicationId, sf_dir, "index")
+    g = built(spark, sf_dir)
     if key not in BUILT:
         BUILT[key] = graph.saved(correction.extension_index(g, alignment.align_reads(g, letters(spark, sf_dir), W), LOW, HIGH))
     return g, BUILT[key]
@@ -377,13 +378,13 @@ def bulge_alternatives(spark, sf_dir):
 
 @query()
 def correct_low_cov(spark, sf_dir):
-    g, index = _index(spark, sf_dir, whole=True)
+    g, index = _index(spark, sf_dir)
     return correction.correct_low_covered(g, letters(spark, sf_dir), index, 3, W)
 
 
 @query()
 def correct_dinucleotide(spark, sf_dir):
-    g, index = _index(spark, sf_dir, whole=True)
+    g, index = _index(spark, sf_dir)
     return correction.correct_dinucleotides(g, letters(spark, sf_dir), index, W)
 
 

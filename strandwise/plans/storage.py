@@ -8,11 +8,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one only where driver and executors are one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="strandwise-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
 def saved(frame: DataFrame) -> DataFrame:
     """A reliable checkpoint: later stages don't recompute it, and lost executors don't lose it."""
     spark = frame.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandwise-"))
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
     return frame.checkpoint()
 
 
@@ -33,5 +44,4 @@ def _complete(spark: SparkSession, path: str) -> bool:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandwise-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"

@@ -4,7 +4,8 @@ Files are read as lines by Spark's text source, so plain files are split among
 tasks and gzipped ones (which can't be split) are read by one task each.  A
 record's lines are told apart by Spark itself: for FASTA, a running count of
 header lines within each file; for FASTQ, whose qualities may hold any
-character, one task walks each file line by line.
+character, one task walks each file, which it holds as one string (so a FASTQ
+or gzipped file may have 2 GB at most; larger ones have to be split before).
 """
 
 from __future__ import annotations
@@ -108,7 +109,8 @@ def read_sequences(spark: SparkSession, paths: str | list[str], strict: bool = F
 
 def read_fasta_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Plain FASTA files, cut at headers by the text source itself, so that large files are split."""
-    rows = spark.read.text(paths, lineSep=">")
+    # a header begins a line, so a ">" inside one doesn't; the file's first header has no line before it
+    rows = spark.read.text(paths, lineSep="\n>").select(F.regexp_replace("value", r"^\s*>", "").alias("value"))
     head = F.trim(F.regexp_extract("value", r"^([^\r\n]*)", 1))
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s", "")
     return rows.where(F.length(F.trim("value")) > 0).select(head.alias("read_id"), body.alias("seq"))

@@ -149,7 +149,7 @@ def test_index_and_correction(spark):
     rows = [*good, ("b", bad)]
     g = graph.build(frame(spark, rows), 11, 5)
     index = correction.extension_index(g, alignment.align_reads(g, frame(spark, rows), 5), *correction.sizes(g, 15))
-    assert index.agg(F.max("cnt")).first()[0] == 15
+    assert index.agg(F.max("cnt")).first()[0] == 16  # the odd read begins like the others
     fixed = {r.read_id: r.seq for r in correction.correct_low_covered(g, frame(spark, rows), index, 3, 5).collect()}
     assert fixed["b"] == genome and fixed["g0"] == genome
 
