@@ -37,7 +37,7 @@ GRAMS = (3, 4, 5)
 IN_TEXTS, IN_SHARE = 5, 0.01
 #: At least so many steps and passes over the sample; the mean is multiplied by SCALE before the softmax reads it.
 STEPS, EPOCHS, BATCH, RATE, DECAY, SCALE = 100, 8, 64, 0.1, 1e-4, 30.0
-#: N-grams are taken from a word's first so many bytes, and its whole from all of them.
+#: Longer words, marks included, are cut into parts of so many bytes that overlap by all but one byte of the longest n-gram.
 LONG = 64
 SLICE_BYTES = 4 << 20
 CHUNK = 20_000
@@ -51,19 +51,34 @@ class Model(NamedTuple):
 
 
 def grams(data: np.ndarray, w: Words, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(numbers, buckets) of distinct words: a row of buckets for each, words of one length at a time."""
-    size = np.minimum(w.end[place] - w.start[place], LONG)
-    for n in np.unique(size):
-        at = np.flatnonzero(size == n)
-        for cut in range(0, len(at), CHUNK):
-            some = at[cut : cut + CHUNK]
-            rows = ALNUM.lower[data[w.start[place[some]][:, None] + np.arange(n)]]
-            mark = np.full((len(some), 1), 60, np.uint8)
-            total, rows = substring_hashes(np.hstack([mark, rows, mark + 2]))
-            out = [mix(w.hash[place[some]] + U64(77))]
+    """(numbers, buckets) of distinct words: a row of buckets for each part of a word, parts of one length at a time.
+
+    All n-grams of a word are in one of its parts, once; the bucket of the whole word is in its first.
+    """
+    size = w.end[place] - w.start[place] + 2  # with the marks
+    step = LONG - max(GRAMS) + 1
+    many = np.maximum(1, -(-(size - LONG) // step) + 1)
+    owner = np.repeat(np.arange(len(place)), many)
+    at = (np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)) * step
+    length = np.minimum(size[owner] - at, LONG)
+    key = length * 2 + (at == 0)
+    for k in np.unique(key):
+        n, head = int(k) // 2, bool(k % 2)
+        same = np.flatnonzero(key == k)
+        for cut in range(0, len(same), CHUNK):
+            some = same[cut : cut + CHUNK]
+            own = owner[some]
+            where = w.start[place[own]][:, None] + (at[some] - 1)[:, None] + np.arange(n)
+            rows = ALNUM.lower[data[np.clip(where, 0, len(data) - 1)]]
+            rows[where < w.start[place[own]][:, None]] = 60
+            rows[where >= w.end[place[own]][:, None]] = 62
+            total, rows = substring_hashes(rows)
+            out = [mix(w.hash[place[own]] + U64(77))] if head else []
             for g in GRAMS:
-                out += [piece_hash(total, i, i + g) for i in range(rows.shape[1] - g + 1)]
-            yield some, (np.column_stack(out) >> U64(40)).astype(np.int64) & (BUCKETS - 1)
+                # of the shorter n-grams, those inside the overlap are the part's before
+                out += [piece_hash(total, i, i + g) for i in range(0 if head else max(GRAMS) - g, n - g + 1)]
+            if out:
+                yield own, (np.column_stack(out) >> U64(40)).astype(np.int64) & (BUCKETS - 1)
 
 
 def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -74,10 +89,11 @@ def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         mine = data[off[i] : off[j]]
         w = words(mine, off[i : j + 1] - off[i], ALNUM)
         place, number = distinct_words(w)
-        rows: list = [None] * len(place)
+        rows: list = [[] for _ in place]
         for some, buckets in grams(mine, w, place):
             for k, row in zip(some, buckets):
-                rows[k] = row
+                rows[k].append(row)
+        rows = [np.concatenate(x) for x in rows]
         for d in range(j - i):
             own, times = np.unique(number[w.doc_at[d] : w.doc_at[d + 1]], return_counts=True)
             if not len(own):
@@ -141,9 +157,11 @@ def scores(model: Model, texts: pa.Array) -> np.ndarray:
         mine = data[off[i] : off[j]]
         w = words(mine, off[i : j + 1] - off[i], ALNUM)
         place, number = distinct_words(w)
-        of_word = np.zeros(len(place))
+        of_word, count = np.zeros(len(place)), np.zeros(len(place))
         for some, buckets in grams(mine, w, place):
-            of_word[some] = model.fold[buckets].mean(1)
+            of_word += np.bincount(some, model.fold[buckets].sum(1), minlength=len(place))
+            count += np.bincount(some, minlength=len(place)) * buckets.shape[1]
+        of_word /= np.maximum(count, 1)
         many = np.diff(w.doc_at)
         odds = per_document(of_word[number], w.doc_at) / np.maximum(many, 1) + model.bias
         out.append(np.zeros(j - i) if model.empty else 1 / (1 + np.exp(-np.clip(odds, -500, 500))))
@@ -173,6 +191,8 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
         return train([])
     picked = docs.where(F.col("doc_id").isin(list(sample)) & F.col("text").isNotNull()).select("doc_id", "text")
     row = picked.repartition(1).mapInArrow(_trainer(sample), "fold binary, known binary, bias double, empty boolean").first()
+    if row is None:  # no labelled document has a text: no task had rows to train on
+        return train([])
     return Model(np.frombuffer(row["fold"], np.float32), np.frombuffer(row["known"], bool), row["bias"], row["empty"])
 
 
