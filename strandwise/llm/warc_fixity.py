@@ -14,7 +14,8 @@ that comes to the driver.
 Defined results: a record that one replica lacks is "missing" or "extra", one
 that differs "changed"; repeated records of one offset count together, in the
 order of their digests; null texts count as empty; empty tables give no rows.
-Whole WARC files are parsed by :func:`read_warc`, one file at a time in memory.
+Whole WARC files are parsed by :func:`read_warc`, one file at a time in memory;
+damaged stretches of a file are records of type "unreadable".
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ._native import text_of, written
 
 RANGE, FANOUT = 1 << 16, 16
+#: Compressed bytes that are unpacked at a time.
+PIECE = 1 << 16
 #: Pages in one written file.
 FILE_PAGES = 1024
 
@@ -39,23 +42,46 @@ RECORD = "file string, offset long, length long, kind string, uri string, digest
 
 
 def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, length, headers, block) of each record; plain, or gzipped record by record."""
-    at = 0
+    """(offset, length, headers, block) of each record; plain, or gzipped record by record.
+
+    What can't be read as a record is one of type "unreadable", up to where the
+    next record begins or the file ends, with its bytes as the block.
+    """
+    at, view = 0, memoryview(data)
     while at < len(data):
-        if data[at : at + 2] == b"\x1f\x8b":
-            unzip = zlib.decompressobj(31)
-            record = unzip.decompress(data[at:]) + unzip.flush()
-            size = len(data) - at - len(unzip.unused_data)
-        else:
-            head = data.index(b"\r\n\r\n", at) + 4
-            size = head - at + int(_headers(data[at:head]).get("content-length", 0)) + 4
-            record = data[at : at + size]
-        head = record.index(b"\r\n\r\n") + 4
-        headers = _headers(record[:head])
-        yield at, size, headers, record[head : head + int(headers.get("content-length", 0))]
+        try:
+            if data[at : at + 2] == b"\x1f\x8b":
+                unzip, got, end = zlib.decompressobj(31), [], at
+                while not unzip.eof:
+                    if end >= len(data):
+                        raise ValueError("the record's end is missing")
+                    got.append(unzip.decompress(view[end : end + PIECE]))
+                    end += PIECE
+                record, size = b"".join(got), min(end, len(data)) - at - len(unzip.unused_data)
+            else:
+                head = data.index(b"\r\n\r\n", at) + 4
+                size = head - at + _content_length(_headers(data[at:head])) + 4
+                if data[at + size - 4 : at + size] != b"\r\n\r\n":
+                    raise ValueError("the record doesn't end where its length says")
+                record = data[at : at + size]
+            head = record.index(b"\r\n\r\n") + 4
+            headers = _headers(record[:head])
+            block = record[head : head + _content_length(headers)]
+        except (ValueError, zlib.error):
+            starts = [x for x in (data.find(b"\r\n\r\nWARC/", at + 1) + 4, data.find(b"\x1f\x8b\x08", at + 1)) if x > max(at, 3)]
+            size = min(starts, default=len(data)) - at
+            headers, block = {"warc-type": "unreadable"}, data[at : at + size]
+        yield at, size, headers, block
         at += size
 
 
+def _content_length(headers: dict[str, str]) -> int:
+    size = int(headers.get("content-length", 0))
+    if size < 0:
+        raise ValueError("a negative length")
+    return size
+
+
 def _headers(block: bytes) -> dict[str, str]:
     lines = block.decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
