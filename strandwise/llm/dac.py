@@ -24,13 +24,14 @@ A lost task rewrites its own file.
 Encoding goes through the distinct pieces of text between white space: the
 tokenizer's pattern always splits where ASCII white space follows another
 character, so a piece's ids don't depend on its surroundings.  Each process
-keeps the ids of pieces it has seen (by a 64-bit hash of the piece and its
-length, at most CACHE of them).  Texts with other white space, or with the
+keeps the ids of pieces it has seen, at most CACHE of them, by a 64-bit hash of
+the piece; a second one of another seed has to agree, else the text is encoded
+whole.  Texts with other white space, or with the
 start of a special token, are encoded whole.
 
 Defined results: null and empty texts have the end id alone; null document ids
 come first; rows that repeat an id are all written, next to each other, ordered
-by their text; an empty table gives files without segments.
+by a hash of their text; an empty table gives files without segments.
 """
 
 from __future__ import annotations
@@ -179,13 +180,13 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.at, self.size = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.checks, self.at, self.size = np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, pieces: list[str]) -> None:
         found = self.whole(pieces)
         if len(self.keys) + len(keys) > self.limit:
             self._forget()
@@ -194,7 +195,8 @@ class Encoder:
         self.flat = np.concatenate([self.flat, *found])
         keys = np.concatenate([self.keys, keys])
         order = np.argsort(keys)
-        self.keys, self.at, self.size = keys[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+        self.keys, self.checks = keys[order], np.concatenate([self.checks, checks])[order]
+        self.at, self.size = np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
         """The ids of each document's text."""
@@ -208,7 +210,7 @@ class Encoder:
         bounds = np.flatnonzero(head)
         if len(data) == 0:
             return [np.zeros(0, np.uint32) for _ in range(n)]
-        piece = segment_hashes(data, bounds)
+        piece, check = segment_hashes(data, bounds), segment_hashes(data, bounds, 1)
         first = np.searchsorted(bounds, off)
         use = np.repeat(~odd, np.diff(first))
         keys, place, number = np.unique(piece[use], return_index=True, return_inverse=True)
@@ -223,8 +225,10 @@ class Encoder:
                 self._forget()
                 new[:] = True
             raw = data.tobytes()
-            self._learn(keys[new], [raw[bounds[p] : bounds[p + 1]].decode() for p in place[new]])
+            self._learn(keys[new], check[place[new]], [raw[bounds[p] : bounds[p + 1]].decode() for p in place[new]])
         entry = np.searchsorted(self.keys, keys)[number]
+        differs = np.flatnonzero(use)[self.checks[entry] != check[use]]
+        odd[np.searchsorted(first, differs, "right") - 1] = True
         size = self.size[entry]
         stop = np.cumsum(size)
         flat = self.flat[np.arange(stop[-1] if len(stop) else 0) + np.repeat(self.at[entry] - stop + size, size)]
@@ -281,7 +285,9 @@ def _writer(path: str, end_id: int, segment: int):
 def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = END_ID, segment: int = SEGMENT) -> None:
     """Encodes all texts and writes their segments to ``folder``, in ascending order of doc_id."""
     own = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    dealt = own.repartitionByRange("id").sortWithinPartitions("id", "text")
+    # by the text's hash too, so that rows that repeat one id don't all meet in one task
+    own = own.withColumn("mark", F.xxhash64("text"))
+    dealt = own.repartitionByRange("id", "mark").sortWithinPartitions("id", "mark", "text").select("id", "text")
     dealt.mapInArrow(_writer(path or public_tokenizer(), end_id, segment), SCHEMA).write.option("compression", "none").parquet(folder)
 
 
