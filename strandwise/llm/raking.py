@@ -40,6 +40,8 @@ TARGETS: dict[str, dict[str, float] | float] = {"source": 0.5, "lang": 0.7, "top
 #: Topics by the first marker that a text has.
 MARKERS = (("list", " | "), ("license", "icense"), ("contact", "@"), ("shouting", "!!"))
 GRID = 64
+#: A table of at most so many cells is sent to all tasks.
+CELLS = 100_000
 
 
 def topic_of(text: str = "text") -> Column:
@@ -158,7 +160,12 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float] | float] = TARGETS,
     rows = docs.select(F.col(doc_id).alias("id"), F.struct(*docs.columns).alias("row"), value(F.col(source)).alias("source"), value(F.col(lang)).alias("lang"), value(topic_of(text) if topic is None else topic).alias("topic"), tokens_of(text).alias("tokens"))
     cells = saved(rows.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")))
     cells = saved(calibrate(rake(cells, targets, budget=budget), budget))
-    rows = rows.join(cells.select("source", "lang", "topic", "p"), ["source", "lang", "topic"])
+    # texts stay where they are: cells are few unless a dimension has very many values, which is counted
+    cells = cells.select("source", "lang", "topic", "p")
+    if cells.count() <= CELLS:
+        rows = rows.join(F.broadcast(cells), ["source", "lang", "topic"])
+    else:
+        rows = rows.join(cells, ["source", "lang", "topic"])
     spot = F.shiftrightunsigned(F.xxhash64(F.lit("draw"), F.col("id").cast("string")), 11) / F.lit(float(1 << 53))
     return rows.select("id", "row", "source", "lang", "topic", "tokens", "p", (spot < F.col("p")).alias("drawn"))
 
