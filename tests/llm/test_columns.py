@@ -345,3 +345,44 @@ def test_warc_fixity(spark, tmp_path):
     assert warc_fixity.audit(a.limit(0), b.limit(0)).count() == 0
     pages = spark.createDataFrame([(1, "u", None), (None, None, "h"), (2, None, ""), (2, None, "")], "page_id long, url string, html string")
     assert warc_fixity.audit(warc_fixity.page_records(pages), warc_fixity.page_records(pages)).count() == 0
+
+
+def test_damaged_warc_files():
+    import gzip
+
+    record = lambda uri, body: f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: {uri}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+    records = [record(f"u{i}", bytes([65 + i]) * 30) for i in range(5)]
+    whole = b"".join(records)
+    kinds = lambda data: [(h.get("warc-type"), h.get("warc-target-uri")) for _, _, h, _ in warc_fixity.parse(data)]
+    good = [("response", f"u{i}") for i in range(5)]
+    assert kinds(whole) == good
+    spoilt = records[1].replace(b"Content-Length: 30", b"Content-Length: 3x")
+    for bad in (spoilt, records[1].replace(b"WARC/1.0", b"XARC/1.0"), records[1].replace(b"Content-Length: 30", b"Content-Length: -9"), records[1].replace(b": 30", b": 90")):
+        assert kinds(records[0] + bad + b"".join(records[2:])) == [good[0], ("unreadable", None), *good[2:]]
+    assert kinds(whole[:-20])[-1] == ("unreadable", None) and kinds(b"noise") == [("unreadable", None)] and kinds(b"") == []
+    packed = [gzip.compress(r) for r in records]
+    assert kinds(b"".join(packed)) == good
+    assert kinds(packed[0] + b"\x1f\x8b\x08" + bytes(20) + b"".join(packed[1:]))[0] == good[0]
+    assert kinds(b"".join(packed)[:-5])[:4] == good[:4]
+    assert sum(size for _, size, _, _ in warc_fixity.parse(b"".join(packed)[:-5])) == len(b"".join(packed)) - 5
+
+
+def test_toxicity_on_empty_tables_and_long_words(spark):
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.report(docs(spark, ["a"]).limit(0), labels).count() == 0
+    assert {r.score for r in toxicity.report(docs(spark, ["a", None, None]), labels).collect()} == {0.0}
+    # every n-gram of a long word counts once
+    data, off = toxicity.text_bytes(pa.array(["x" * 10, "".join(chr(0x4E00 + i) for i in range(90)), "a"]))
+    w = toxicity.words(data, off, toxicity.ALNUM)
+    total = np.zeros(3, int)
+    for own, buckets in toxicity.grams(data, w, np.arange(3)):
+        total += np.bincount(own, minlength=3) * buckets.shape[1]
+    size = [10 + 2, 270 + 2, 1 + 2]
+    assert total.tolist() == [1 + sum(max(0, n - g + 1) for g in toxicity.GRAMS) for n in size]
+
+
+def test_token_ids_of_repeated_documents(spark):
+    texts, ids = ["b b", "a a", None, "a a", "c"], [7, 7, 7, None, None]
+    rows = sorted(dac.report(docs(spark, texts, ids)).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None, None, 7, 7, 7]
+    assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows[:-1])]).tolist()
