@@ -33,8 +33,10 @@ from ._text import ALNUM, U64, Words, crc_fold, distinct_words, mix, per_documen
 PER_CLASS = {0: 2000, 1: 1000}
 BUCKETS, WIDTH = 1 << 20, 4
 GRAMS = (3, 4, 5)
-#: A bucket is learned only if it is in so many texts of the sample, and in such a share of them.
-IN_TEXTS, IN_SHARE = 5, 0.01
+#: A bucket is learned only if it is in so many texts of the sample.
+IN_TEXTS = 5
+#: The log-odds lose this number over that of toxic texts learned from, so that few of them convict few others.
+PRIOR = 10.0
 #: At least so many steps and passes over the sample; the mean is multiplied by SCALE before the softmax reads it.
 STEPS, EPOCHS, BATCH, RATE, DECAY, SCALE = 100, 8, 64, 0.1, 1e-4, 30.0
 #: Longer words, marks included, are cut into parts of so many bytes that overlap by all but one byte of the longest n-gram.
@@ -114,7 +116,7 @@ def train(sample: list[tuple[str, str]], steps: int = STEPS, epochs: int = EPOCH
     seen = np.zeros(BUCKETS, np.int64)
     for buckets, _ in texts:
         seen[buckets] += 1
-    known = seen >= max(IN_TEXTS, IN_SHARE * len(texts))
+    known = seen >= IN_TEXTS
     number = np.cumsum(known) - 1
     texts = [(number[b[known[b]]], x[known[b]]) for b, x in texts]
     rng = np.random.default_rng(seed)
@@ -147,7 +149,7 @@ def train(sample: list[tuple[str, str]], steps: int = STEPS, epochs: int = EPOCH
             bias -= RATE * g_bias / np.sqrt(sums[2])
     fold = np.zeros(BUCKETS, np.float32)
     fold[known] = SCALE * vectors @ (head[:, 1] - head[:, 0])
-    return Model(fold, known, float(bias[1] - bias[0]))
+    return Model(fold, known, float(bias[1] - bias[0]) - PRIOR / label.sum())
 
 
 def scores(model: Model, texts: pa.Array) -> np.ndarray:
