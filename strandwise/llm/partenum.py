@@ -14,12 +14,14 @@ only where a set has so many of them that this could lose a partner.
    of all sets have are found by counts of hashed spots and go another way:
    representatives by partial aggregation, and a join that adaptive execution
    can split.  Equal sets are one node, and sign once a task.
-2. Each set is compared with one representative, on the whole sets, and links
-   are united; then with the others from which components still part it.
+2. Sketches, which bound the difference of two sets from below, leave some of
+   the pairs of a set and a representative in question.  Each set is compared
+   with the first of these, on the whole sets, and links are united; then with
+   the others from which components still part it.
 3. What is left are a representative's members in several components.  Those
    outside the group's main component, and they alone, are compared with all
    others, block by block; a block holds about BLOCK_ITEMS elements a side.  First only
-   sketches meet, which bound the difference of two sets from below; rows that
+   sketches meet; rows that
    they leave a possible partner meet again as whole sets, and pairs that links
    join meanwhile are left out.  So every similar pair is compared, or joined by
    links.
@@ -59,7 +61,7 @@ ID_BITS = 1 << 24
 #: Signatures are counted in so many spots; one with HOT_TIMES the mean, and HOT_ROWS, is hot.
 SPOTS, HOT_TIMES, HOT_ROWS = 1 << 16, 16, 1 << 20
 SLICE_BYTES = 2 << 20
-#: Bytes of a sketch, and elements of the largest set that has one (of more, hardly any pair could be told apart).
+#: Parts of a kept sketch, and elements of the largest set that has one (of more, hardly any pair could be told apart).
 CELLS, SKETCHED = 512, 3000
 #: Sets that a task remembers having signed.
 SEEN = 100_000
@@ -136,6 +138,13 @@ class Scheme:
         sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(y ^ U64(0xE7037ED1A0B428DB)))])
         return (mix(sums[at[1:]] - sums[at[:-1]]) >> U64(56)).astype(np.uint8)
 
+    def packed(self, x: np.ndarray) -> bytes | None:
+        """A sketch of CELLS parts, half a byte for each; none of a large set."""
+        if len(x) > SKETCHED:
+            return None
+        half = self.sketch(x, CELLS // 4) >> 4
+        return (half[::2] | half[1::2] << 4).tobytes()
+
     def similar(self, a: np.ndarray, b: np.ndarray) -> bool:
         common = len(np.intersect1d(a, b, assume_unique=True))
         return self.den * common >= self.num * (len(a) + len(b) - common)
@@ -161,40 +170,67 @@ def _signer(scheme: Scheme):
         none = np.zeros(0, U64)
         for batch in batches:
             for ids, sets in sets_of(batch, scheme.size):
-                node, n, sigs = [], [], []
+                node, n, sigs, marks = [], [], [], []
                 for x in sets:
                     name = node_of(x) if len(x) else None
                     node.append(name)
                     n.append(len(x))
                     if name is None or name in seen:
                         sigs.append(none)
+                        marks.append(None)
                         continue
+                    marks.append(scheme.packed(x))
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(name)
                     sigs.append(np.concatenate([scheme.signatures(x, c) for c in scheme.bands(len(x))]))
                 off = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
                 rows = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(sigs).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(node, pa.int64()), pa.array(n, pa.int64()), rows], names=["id", "node", "n", "sigs"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(marks, pa.binary()), rows], names=["id", "node", "n", "sketch", "sigs"])
 
     return run
 
 
 def _namer(scheme: Scheme):
-    """(node, text, sketch) of rows (id, text); large sets have no sketch."""
+    """(node, text) of rows (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for ids, sets in sets_of(batch, scheme.size):
                 names = pa.array([node_of(x) if len(x) else None for x in sets], pa.int64())
-                marks = pa.array([scheme.sketch(x, CELLS // 4).tobytes() if 0 < len(x) <= SKETCHED else None for x in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([names, batch.column(1).slice(at, len(ids)), marks], names=["node", "text", "sketch"])
+                yield pa.RecordBatch.from_arrays([names, batch.column(1).slice(at, len(ids))], names=["node", "text"])
                 at += len(ids)
 
     return run
 
 
+def unpacked(sketches: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of packed sketches, and which of them are missing."""
+    rows = np.frombuffer(b"".join(x or bytes(CELLS // 2) for x in sketches), np.uint8).reshape(-1, CELLS // 2)
+    return rows, np.array([x is None for x in sketches], bool)
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many parts packed sketches differ, row by row."""
+    x = a ^ b
+    return np.count_nonzero(x & 15, axis=1) + np.count_nonzero(x >> 4, axis=1)
+
+
+def _likely(scheme: Scheme):
+    """Of pairs rep, node, n and sketch of each: those that sizes and sketches don't exclude."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(i).to_numpy() for i in (2, 3))
+            (a, x), (b, y) = (unpacked(batch.column(i).to_pylist()) for i in (4, 5))
+            ok = np.minimum(n, m) * scheme.den >= np.maximum(n, m) * scheme.num
+            ok &= x | y | (differing(a, b) <= scheme.differ(n + m))
+            yield batch.select([0, 1]).filter(pa.array(ok))
+
+    return run
+
+
 def _matcher(scheme: Scheme):
     """Over rows (rep, salt, node, text) sorted so that each group's representative comes first: (a, b, similar)."""
 
@@ -223,14 +259,13 @@ def hopeful(scheme: Scheme, rows: list[tuple]) -> list[int]:
     side = np.array([r[0] for r in rows])
     label = np.unique(np.array([r[2] for r in rows]), return_inverse=True)[1]
     n = np.array([r[3] for r in rows])
-    blind = np.array([r[4] is None for r in rows])
-    marks = np.frombuffer(b"".join(r[4] or bytes(CELLS) for r in rows), np.uint8).reshape(len(rows), CELLS)
+    marks, blind = unpacked([r[4] for r in rows])
     found = np.zeros(len(rows), bool)
     for i in np.flatnonzero(side != 1):
         rest = np.flatnonzero((side != 0) & (label != label[i]))
         rest = rest[np.minimum(n[rest], n[i]) * scheme.den >= np.maximum(n[rest], n[i]) * scheme.num]
         if len(rest) and not blind[i]:
-            rest = rest[blind[rest] | (np.count_nonzero(marks[rest] != marks[i], axis=1) <= scheme.differ(n[rest] + n[i]))]
+            rest = rest[blind[rest] | (differing(marks[rest], marks[i]) <= scheme.differ(n[rest] + n[i]))]
         found[rest] = True
         found[i] |= len(rest) > 0
     return [rows[i][1] for i in np.flatnonzero(found)]
@@ -324,40 +359,45 @@ def _join(docs: DataFrame, doc_id: str, text: str, scheme: Scheme) -> Found:
     own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     kind = own.schema["id"].dataType.simpleString()
     marked = own.select(F.struct("id", _mark("text").alias("mark")).alias("id"), "text")
-    signed = written(marked.mapInArrow(_signer(scheme), f"id struct<id:{kind},mark:bigint>, node long, n long, sigs array<long>"), "signed")
+    signed = written(marked.mapInArrow(_signer(scheme), f"id struct<id:{kind},mark:bigint>, node long, n long, sketch binary, sigs array<long>"), "signed")
     documents = written(signed.select("id.id", "id.mark", "node", "n"), "documents")
     first = saved(documents.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("first"), F.any_value("n").alias("n")))
     found = written(stars(signed.select("node", F.explode("sigs").alias("sig"))), "stars")
+    reps = found.select("rep").distinct().select(F.col("rep").alias("node"))
+    kept = signed.where("sketch IS NOT NULL").select("node", "sketch").join(reps.unionByName(found.select("node")).distinct(), "node", "left_semi")
+    sketches = written(first.select("node", "n").join(kept.groupBy("node").agg(F.any_value("sketch").alias("sketch")), "node", "left").join(reps.unionByName(found.select("node")).distinct(), "node", "left_semi"), "sketches")
     dropped(signed)
 
-    # a text of each node that has a partner, and the first of its representatives
-    reps = found.select("rep").distinct().select(F.col("rep").alias("node"), F.lit(True).alias("is_rep"))
-    mates = found.groupBy("node").agg(F.min("rep").alias("rep"))
-    chosen = saved(mates.join(reps, "node", "full").join(first, "node").select("node", "rep", F.coalesce("is_rep", F.lit(False)).alias("is_rep"), F.col("first").alias("id")))
-    wanted = passes(own, F.col("id"), key_filter(chosen, F.col("id"), ID_BITS), ID_BITS, "wanted").where("wanted").select("id", "text")
-    named = wanted.mapInArrow(_namer(scheme), "node long, text string, sketch binary").groupBy("node").agg(F.any_value("text").alias("text"), F.any_value("sketch").alias("sketch"))
-    texts = written(named.join(chosen.drop("id"), "node").select("node", "rep", "is_rep", "text", "sketch"), "texts")
+    # pairs that their sketches leave in question, and the first of each node
+    pairs = found.join(sketches.select(F.col("node").alias("rep"), F.col("n").alias("na"), F.col("sketch").alias("a")), "rep")
+    pairs = pairs.join(sketches.select("node", F.col("n").alias("nb"), F.col("sketch").alias("b")), "node").select("rep", "node", "na", "nb", "a", "b")
+    likely = saved(pairs.mapInArrow(_likely(scheme), "rep long, node long"))
+    mates = likely.groupBy("node").agg(F.min("rep").alias("rep"))
+    reps = likely.select("rep").distinct().select(F.col("rep").alias("node"), F.lit(True).alias("is_rep"))
+    chosen = saved(mates.join(reps, "node", "full").select("node", "rep", F.coalesce("is_rep", F.lit(False)).alias("is_rep")))
+    texts = written(_texts(scheme, own, chosen, first).join(chosen, "node").select("node", "rep", "is_rep", "text"), "texts")
 
     # each node with one representative, then with the others that links don't join it to
-    tried = _tested(scheme, texts, reps.select("node"))
+    tried = _tested(scheme, texts)
     links = tried.where("similar").select("a", "b")
     labels = _labelled(first, links)
-    ends = found.join(labels.select(F.col("node").alias("rep"), F.col("label").alias("rep_label")), "rep").join(labels, "node")
+    ends = likely.join(labels.select(F.col("node").alias("rep"), F.col("label").alias("rep_label")), "rep").join(labels, "node")
     apart = saved(ends.where("label <> rep_label").select("rep", "node").join(mates, ["rep", "node"], "left_anti"))
     if apart.limit(1).count():
         nodes = apart.select("node").unionByName(apart.select(F.col("rep").alias("node"))).distinct()
         few = passes(texts, F.col("node"), key_filter(nodes, F.col("node"), ID_BITS), ID_BITS, "wanted").where("wanted").select("node", "text")
         few = apart.select("node", "rep", F.lit(False).alias("is_rep")).unionByName(apart.select(F.col("rep").alias("node"), F.lit(None).cast("long").alias("rep"), F.lit(True).alias("is_rep")).distinct()).join(few, "node")
-        links = saved(links.unionByName(_tested(scheme, few, apart.select(F.col("rep").alias("node")).distinct()).where("similar").select("a", "b")))
+        links = saved(links.unionByName(_tested(scheme, few).where("similar").select("a", "b")))
+        labels = _labelled(first, links)
+    dropped(texts)
+    more = _left_over(scheme, found, labels, first, sketches, own)
+    if more is not None:
+        links = saved(links.unionByName(more))
         labels = _labelled(first, links)
-        more = _left_over(scheme, found, labels, first, texts)
-        if more is not None:
-            links = saved(links.unionByName(more))
-            labels = _labelled(first, links)
     names = labels.join(first, "node")
     least = names.groupBy("label").agg(F.min("first").alias("component"))
     nodes = written(names.join(least, "label").select("node", "first", "label", "component"), "nodes")
-    dropped(found, texts)
+    dropped(found, sketches)
     return Found(documents, nodes, links)
 
 
@@ -370,7 +410,14 @@ def _labelled(first: DataFrame, links: DataFrame) -> DataFrame:
     return saved(first.select("node").join(roots, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
 
 
-def _tested(scheme: Scheme, texts: DataFrame, reps: DataFrame) -> DataFrame:
+def _texts(scheme: Scheme, own: DataFrame, nodes: DataFrame, first: DataFrame) -> DataFrame:
+    """(node, text): a text of each of the nodes, from the documents (id, text) that have its smallest id."""
+    ids = saved(nodes.select("node").join(first, "node").select("node", F.col("first").alias("id")))
+    wanted = passes(own, F.col("id"), key_filter(ids, F.col("id"), ID_BITS), ID_BITS, "wanted").where("wanted").select("id", "text")
+    return wanted.mapInArrow(_namer(scheme), "node long, text string").groupBy("node").agg(F.any_value("text").alias("text")).join(ids.select("node"), "node", "left_semi")
+
+
+def _tested(scheme: Scheme, texts: DataFrame) -> DataFrame:
     """(a, b, similar) of texts (node, rep, is_rep, text): each node against its representative."""
     sizes = saved(texts.where("rep IS NOT NULL").groupBy("rep").agg(F.sum(F.octet_length("text")).alias("size")))
     total = sizes.agg(F.sum("size").alias("s")).first()["s"] or 0
@@ -385,7 +432,7 @@ def _tested(scheme: Scheme, texts: DataFrame, reps: DataFrame) -> DataFrame:
     return saved(rows.mapInArrow(_matcher(scheme), "a long, b long, similar boolean"))
 
 
-def _left_over(scheme: Scheme, found: DataFrame, labels: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame | None:
+def _left_over(scheme: Scheme, found: DataFrame, labels: DataFrame, first: DataFrame, sketches: DataFrame, own: DataFrame) -> DataFrame | None:
     """Links among a representative's members, all of which were compared with it or are joined to it.
 
     Members outside the group's main component meet all of other components; a group of one component has nothing left.
@@ -403,11 +450,10 @@ def _left_over(scheme: Scheme, found: DataFrame, labels: DataFrame, first: DataF
     one = both.where("left").select("rep", deal("is").alias("i"), every("js").alias("j"), deal("js").alias("own"), "label", "node").withColumn("side", F.when(F.col("j") == F.col("own"), 2).otherwise(0))
     two = both.select("rep", every("is").alias("i"), deal("js").alias("j"), F.lit(1).alias("side"), "label", "node", "left", deal("is").alias("own")).where("NOT (left AND i = own)")
     rows = written(one.select(*BLOCK_KEY, "side", "label", "node").unionByName(two.select(*BLOCK_KEY, "side", "label", "node")), "blocks")
-    sketched = rows.join(first.select("node", "n"), "node").join(texts.select("node", "sketch"), "node").select(*BLOCK_KEY, "side", "label", "node", "n", "sketch")
+    sketched = rows.join(sketches, "node").select(*BLOCK_KEY, "side", "label", "node", "n", "sketch")
     sketched = sketched.repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY, "side", "node")
     worth = saved(sketched.mapInArrow(_sifter(scheme), "rep long, i int, j int, node long"))
-    nodes = worth.select("node").distinct()
-    few = passes(texts, F.col("node"), key_filter(nodes, F.col("node"), ID_BITS), ID_BITS, "wanted").where("wanted").select("node", "text")
+    few = _texts(scheme, own, worth.select("node").distinct(), first)
     rows = rows.join(worth, [*BLOCK_KEY, "node"], "left_semi").join(few, "node").select(*BLOCK_KEY, "side", "label", "node", "text")
     rows = rows.repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY, "side", "node")
     return saved(rows.mapInArrow(_comparer(scheme), "a long, b long"))
