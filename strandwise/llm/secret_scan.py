@@ -149,17 +149,17 @@ class Nfa:
         return max((self.done.get(s, 0) for s in states), default=0)
 
 
-def _advance(nfa: Nfa, threads: tuple[frozenset[int], ...], c: int | None, kind: str) -> tuple[tuple[frozenset[int], ...], bool]:
+def _advance(nfa: Nfa, threads: tuple[frozenset[int], ...], c: int | None, kind: str) -> tuple[tuple[frozenset[int], ...], int]:
     """Threads are sets of states of one start each, earliest first; a match drops the later ones.
 
-    Returns the threads after byte c (None: the end) and whether a valid match has just ended.
+    Returns the threads after byte c (None: the end) and what match has just ended: 0 none, 1 one too short, 2 a valid one.
     """
     fresh = nfa.closed({0})
     matched = len(threads) > 0 and nfa.verdict(threads[0]) > 0
-    reported = False
+    reported = 0
     moved = [] if c is None else [nfa.step(t, c) for t in threads]
     if matched and (c is None or not moved[0]):
-        reported = nfa.verdict(threads[0]) == 2
+        reported = nfa.verdict(threads[0])
         moved = []
         matched = False
     if c is not None and not (matched and moved):
@@ -186,7 +186,7 @@ class Automaton(NamedTuple):
     base: int
     at_end: list[int]  # state -> what is reported at the end of the text
     kinds: tuple[str, ...]
-    reports: list[tuple[int, ...]]  # report -> the kinds that end here
+    reports: list[tuple[tuple[int, int], ...]]  # report -> the kinds that end here, and whether too short (1) or valid (2)
     back: list[tuple[list[int], list[bool]]]  # of each kind: reversed table of 256 columns, accepting states
 
 
@@ -243,7 +243,7 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> Automaton:
     start = tuple(() for _ in nfas)
     number, order, nexts, said = {start: 0}, [start], [], []
     memo: dict = {}
-    reports: dict[tuple[int, ...], int] = {(): 0}
+    reports: dict[tuple[tuple[int, int], ...], int] = {(): 0}
 
     def moved(k: int, threads: tuple, c: int | None) -> tuple:
         if (k, threads, c) not in memo:
@@ -255,7 +255,8 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> Automaton:
         row, told = [], []
         for c in [*sample, None]:
             each = [moved(k, threads, c) for k, threads in enumerate(state)]
-            told.append(reports.setdefault(tuple(k for k, (_, r) in enumerate(each) if r), len(reports)))
+            # a short match of one step ends where no match can go on, so its end needn't be told
+            told.append(reports.setdefault(tuple((k, r) for k, (_, r) in enumerate(each) if r == 2 or r and len(rules[k].steps) > 1), len(reports)))
             if c is None:
                 break
             nxt = tuple(t for t, _ in each)
@@ -293,7 +294,10 @@ def scan(a: Automaton, data: bytes) -> list[tuple[int, int, int]]:
     out = []
     last = [0] * len(a.kinds)
     for end, said in ends:
-        for kind in a.reports[said]:
+        for kind, valid in a.reports[said]:
+            if valid == 1:
+                last[kind] = end  # it took up its text
+                continue
             back, accepts = a.back[kind]
             s, at, start = 256, end, end
             while at > last[kind] and (s := back[s + data[at - 1]]):

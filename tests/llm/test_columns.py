@@ -66,6 +66,8 @@ def brute_spans(text):
 
 def test_secret_automaton_matches_regular_expressions():
     a = secret_scan.compile_rules()
+    for text in ("secret=password: token=abcdefghij12", "token: secret = 'x' token=abcdefghijkl", "api_key=short passwd:" + "y" * 20):
+        assert secret_scan.scan(a, text.encode()) == brute_spans(text), text
     rng = random.Random(1)
     parts = ["token", "SECRET", "passwd", "password", "api_key", "apikey", "=", ":", " ", "'", '"', "a", "0123456789abcdef", "abc.def", "AKIA", "AKIAABCDEFGHIJKLMN", "Z9", "eyJ", "eyJab", ".", "-----BEGIN ", "PRIVATE KEY-----", "x" * 12, "\n", "=="]
     for _ in range(5000):
