@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import string
 import tempfile
 import uuid
@@ -64,6 +65,16 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of steps that are over.
+
+    Spark deletes them when the driver's collector finds their frames gone, which
+    by itself it may do half an hour later; until then they fill the executors' disks.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int, size: int) -> Iterator[None]:
     """Within it, plans hand Python workers at most so many rows and bytes at once; the caller's settings come back after."""

@@ -47,7 +47,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._native import dropped, key_filter, passes, saved, small_batches, written
+from ._native import dropped, key_filter, passes, released, saved, small_batches, written
 from ._text import SPACED, U64, mix, shingles, spans, text_bytes, words
 from .components import connected
 
@@ -164,29 +164,55 @@ def sets_of(batch: pa.RecordBatch, size: int) -> Iterator[tuple[pa.Array, list[n
         yield batch.column(0).slice(i, j - i), [np.unique(h[at[d] : at[d + 1]]) for d in range(j - i)]
 
 
-def _signer(scheme: Scheme):
+class Once:
+    """The sets that a task signs: each once, as far as it remembers."""
+
+    def __init__(self, scheme: Scheme):
+        self.scheme, self.seen = scheme, set()
+
+    def signed(self, node: int, x: np.ndarray) -> np.ndarray:
+        if node in self.seen:
+            return np.zeros(0, U64)
+        if len(self.seen) >= SEEN:
+            self.seen.clear()
+        self.seen.add(node)
+        return np.concatenate([self.scheme.signatures(x, c) for c in self.scheme.bands(len(x))])
+
+
+def _namer_and_counter(scheme: Scheme):
+    """Rows id, node, n, sketch (a set's first in the task); at last one row of spots: counts of the signatures' low bits."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        none = np.zeros(0, U64)
+        once, spots, kind = Once(scheme), np.zeros(SPOTS, np.int64), None
+        names = ["id", "node", "n", "sketch", "spots"]
         for batch in batches:
+            kind = batch.schema.field(0).type
             for ids, sets in sets_of(batch, scheme.size):
-                node, n, sigs, marks = [], [], [], []
+                node, marks = [], []
                 for x in sets:
-                    name = node_of(x) if len(x) else None
-                    node.append(name)
-                    n.append(len(x))
-                    if name is None or name in seen:
-                        sigs.append(none)
-                        marks.append(None)
-                        continue
-                    marks.append(scheme.packed(x))
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen.add(name)
-                    sigs.append(np.concatenate([scheme.signatures(x, c) for c in scheme.bands(len(x))]))
-                off = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
-                rows = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(sigs).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(marks, pa.binary()), rows], names=["id", "node", "n", "sketch", "sigs"])
+                    node.append(node_of(x) if len(x) else None)
+                    sigs = once.signed(node[-1], x) if len(x) else np.zeros(0, U64)
+                    marks.append(scheme.packed(x) if len(sigs) else None)
+                    np.add.at(spots, (sigs & U64(SPOTS - 1)).astype(np.int64), 1)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(node, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(marks, pa.binary()), pa.nulls(len(ids), pa.list_(pa.int64()))], names=names)
+        if kind is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([spots], pa.list_(pa.int64()))], names=names)
+
+    return run
+
+
+def _signer(scheme: Scheme):
+    """(node, sig) of rows (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once = Once(scheme)
+        for batch in batches:
+            for _, sets in sets_of(batch, scheme.size):
+                node = [node_of(x) for x in sets if len(x)]
+                sigs = [once.signed(k, x) for k, x in zip(node, (x for x in sets if len(x)))]
+                if node:
+                    rows = np.repeat(np.array(node, np.int64), [len(x) for x in sigs])
+                    yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.concatenate(sigs).view(np.int64))], names=["node", "sig"])
 
     return run
 
@@ -333,20 +359,25 @@ class Found(NamedTuple):
     links: DataFrame  # a, b: verified pairs of nodes that join all components
 
 
-def stars(rows: DataFrame) -> DataFrame:
-    """Of rows (node, sig): (rep, node), each node with the smallest one of each signature of its."""
+def stars(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Of rows (node, sig): (rep, node), each node with the smallest one of each signature of its.
+
+    ``rows`` is computed again by each reader; counts (spot, c) says how many there are.
+    """
     spot = F.pmod("sig", F.lit(SPOTS)).alias("spot")
-    counts = saved(rows.groupBy(spot).agg(F.count(F.lit(1)).alias("c")))
     limit = max(HOT_ROWS, HOT_TIMES * (counts.agg(F.avg("c").alias("m")).first()["m"] or 0))
     hot = counts.where(F.col("c") >= limit).select("spot")  # SPOTS / HOT_TIMES rows at most
     some = hot.limit(1).count() > 0
     cold = rows.withColumn("spot", spot).join(F.broadcast(hot), "spot", "left_anti") if some else rows
     out = cold.select("node", F.min("node").over(Window.partitionBy("sig")).alias("rep")).where("rep < node").select("rep", "node")
     if some:
-        warm = rows.withColumn("spot", spot).join(F.broadcast(hot), "spot", "left_semi").select("sig", "node")
+        warm = written(rows.withColumn("spot", spot).join(F.broadcast(hot), "spot", "left_semi").select("sig", "node"), "warm")
         reps = warm.groupBy("sig").agg(F.min("node").alias("rep"), F.max("node").alias("last")).where("rep < last").select("sig", "rep")
         out = out.unionByName(warm.join(reps, "sig").where("rep < node").select("rep", "node"))
-    return out.distinct()
+    found = written(out.distinct(), "stars")
+    if some:
+        dropped(warm)
+    return found
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100) -> Found:
@@ -359,14 +390,17 @@ def _join(docs: DataFrame, doc_id: str, text: str, scheme: Scheme) -> Found:
     own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     kind = own.schema["id"].dataType.simpleString()
     marked = own.select(F.struct("id", _mark("text").alias("mark")).alias("id"), "text")
-    signed = written(marked.mapInArrow(_signer(scheme), f"id struct<id:{kind},mark:bigint>, node long, n long, sketch binary, sigs array<long>"), "signed")
-    documents = written(signed.select("id.id", "id.mark", "node", "n"), "documents")
+    named = written(marked.mapInArrow(_namer_and_counter(scheme), f"id struct<id:{kind},mark:bigint>, node long, n long, sketch binary, spots array<long>"), "named")
+    documents = written(named.where("spots IS NULL").select("id.id", "id.mark", "node", "n"), "documents")
     first = saved(documents.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("first"), F.any_value("n").alias("n")))
-    found = written(stars(signed.select("node", F.explode("sigs").alias("sig"))), "stars")
+    counts = saved(named.where("spots IS NOT NULL").select(F.posexplode("spots").alias("spot", "c")).groupBy(F.col("spot").cast("long").alias("spot")).agg(F.sum("c").alias("c")).where("c > 0"))
+    # signatures go into their exchange as they are made: kept on disk as well, they would take as much again
+    found = stars(own.mapInArrow(_signer(scheme), "node long, sig long"), counts)
+    released(own.sparkSession)
     reps = found.select("rep").distinct().select(F.col("rep").alias("node"))
-    kept = signed.where("sketch IS NOT NULL").select("node", "sketch").join(reps.unionByName(found.select("node")).distinct(), "node", "left_semi")
+    kept = named.where("sketch IS NOT NULL").select("node", "sketch").join(reps.unionByName(found.select("node")).distinct(), "node", "left_semi")
     sketches = written(first.select("node", "n").join(kept.groupBy("node").agg(F.any_value("sketch").alias("sketch")), "node", "left").join(reps.unionByName(found.select("node")).distinct(), "node", "left_semi"), "sketches")
-    dropped(signed)
+    dropped(named)
 
     # pairs that their sketches leave in question, and the first of each node
     pairs = found.join(sketches.select(F.col("node").alias("rep"), F.col("n").alias("na"), F.col("sketch").alias("a")), "rep")
