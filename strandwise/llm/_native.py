@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import string
 import tempfile
 import uuid
@@ -26,12 +25,12 @@ def lower_ascii(text: Column) -> Column:
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder that the session names; on a cluster there has to be one, for executors don't share temporary ones."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="strandwise-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.sparkContext.setCheckpointDir(root)  # a session refuses the setting once it runs
     return root.rstrip("/")
 
 
@@ -49,9 +48,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def written(frame: DataFrame, name: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder, so that later readers prune its columns."""
+    """The frame as a Parquet table in the shared folder, so that later readers prune its columns.
+
+    Its shuffle files go when it is complete, not when the driver forgets the frame.
+    """
     path = shared_folder(frame.sparkSession, name)
-    frame.write.parquet(path)
+    with settings(frame.sparkSession, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        frame.write.parquet(path)
     table = frame.sparkSession.read.schema(frame.schema).parquet(path)
     table.folder = path
     return table
@@ -65,22 +68,16 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def released(spark: SparkSession) -> None:
-    """Lets go of the shuffle files of steps that are over.
-
-    Spark deletes them when the driver's collector finds their frames gone, which
-    by itself it may do half an hour later; until then they fill the executors' disks.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
+def small_batches(spark: SparkSession, rows: int, size: int):
+    """Within it, plans hand Python workers at most so many rows and bytes at once."""
+    return settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)})
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int, size: int) -> Iterator[None]:
-    """Within it, plans hand Python workers at most so many rows and bytes at once; the caller's settings come back after."""
-    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
-    before = {k: spark.conf.get(k, None) for k in names}
-    for k, v in names.items():
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Within it, the session has these settings; the caller's come back after."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
         spark.conf.set(k, v)
     try:
         yield
