@@ -45,6 +45,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._native import dropped, key_filter, passes, saved, small_batches, written
@@ -55,14 +56,14 @@ from .components import connected
 N2, K2 = 2, 1
 #: A band's largest size is this many times its smallest.
 RATIO = 1.6
-#: Elements on each side of a block, and text bytes that a representative meets in one task.
-BLOCK_ITEMS, GROUP_BYTES = 1 << 18, 8 << 20
+#: Elements on each side of a block, and bytes of compressed texts that a representative meets in one task.
+BLOCK_ITEMS, GROUP_BYTES = 1 << 18, 4 << 20
 ID_BITS = 1 << 24
 #: Signatures are counted in so many spots; one with HOT_TIMES the mean, and HOT_ROWS, is hot.
 SPOTS, HOT_TIMES, HOT_ROWS = 1 << 16, 16, 1 << 20
 SLICE_BYTES = 2 << 20
-#: Parts of a kept sketch, and elements of the largest set that has one (of more, hardly any pair could be told apart).
-CELLS, SKETCHED = 512, 3000
+#: Parts of the smallest kept sketch, and elements up to which a set has it; both double together for larger sets.
+CELLS, SKETCHED = 512, 1024
 #: Sets that a task remembers having signed.
 SEEN = 100_000
 #: Rows and bytes that Spark hands to a Python worker at once.
@@ -138,11 +139,13 @@ class Scheme:
         sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(y ^ U64(0xE7037ED1A0B428DB)))])
         return (mix(sums[at[1:]] - sums[at[:-1]]) >> U64(56)).astype(np.uint8)
 
-    def packed(self, x: np.ndarray) -> bytes | None:
-        """A sketch of CELLS parts, half a byte for each; none of a large set."""
-        if len(x) > SKETCHED:
-            return None
-        half = self.sketch(x, CELLS // 4) >> 4
+    def packed(self, x: np.ndarray) -> bytes:
+        """A sketch of half a byte for each part: the exclusive or of its elements, so that :func:`folded` joins neighbours."""
+        cells = CELLS << max(0, -(-len(x) // SKETCHED) - 1).bit_length()
+        y = self.placed(x, 0)
+        at = np.searchsorted(((y >> U64(32)) * U64(cells)) >> U64(32), np.arange(cells + 1, dtype=U64))
+        total = np.bitwise_xor.accumulate(np.concatenate([np.zeros(1, U64), mix(y ^ U64(0xE7037ED1A0B428DB)) >> U64(60)])).astype(np.uint8)
+        half = total[at[1:]] ^ total[at[:-1]]
         return (half[::2] | half[1::2] << 4).tobytes()
 
     def similar(self, a: np.ndarray, b: np.ndarray) -> bool:
@@ -164,6 +167,19 @@ def sets_of(batch: pa.RecordBatch, size: int) -> Iterator[tuple[pa.Array, list[n
         yield batch.column(0).slice(i, j - i), [np.unique(h[at[d] : at[d + 1]]) for d in range(j - i)]
 
 
+def sets_of_packed(texts: pa.Array, size: int) -> Iterator[list[np.ndarray]]:
+    """The sets of compressed texts, some at a time: SLICE_BYTES unpacked, or one longer text."""
+    unpack, now, much = zstandard.ZstdDecompressor().decompress, [], 0
+    for i, t in enumerate(texts.to_pylist()):
+        now.append(unpack(t))
+        much += len(now[-1])
+        if much >= SLICE_BYTES or i + 1 == len(texts):
+            rows = pa.RecordBatch.from_arrays([pa.nulls(len(now)), pa.array(now, pa.large_binary())], names=["id", "text"])
+            for _, sets in sets_of(rows, size):
+                yield sets
+            now, much = [], 0
+
+
 class Once:
     """The sets that a task signs: each once, as far as it remembers."""
 
@@ -218,23 +234,27 @@ def _signer(scheme: Scheme):
 
 
 def _namer(scheme: Scheme):
-    """(node, text) of rows (id, text)."""
+    """(node, text) of rows (id, text); texts are compressed by themselves, as they move several times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             at = 0
             for ids, sets in sets_of(batch, scheme.size):
                 names = pa.array([node_of(x) if len(x) else None for x in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([names, batch.column(1).slice(at, len(ids))], names=["node", "text"])
+                texts = [pack((t or "").encode()) for t in batch.column(1).slice(at, len(ids)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([names, pa.array(texts, pa.binary())], names=["node", "text"])
                 at += len(ids)
 
     return run
 
 
-def unpacked(sketches: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of packed sketches, and which of them are missing."""
-    rows = np.frombuffer(b"".join(x or bytes(CELLS // 2) for x in sketches), np.uint8).reshape(-1, CELLS // 2)
-    return rows, np.array([x is None for x in sketches], bool)
+def folded(rows: np.ndarray, width: int) -> np.ndarray:
+    """Packed sketches brought to fewer bytes, by joining parts that are neighbours."""
+    while rows.shape[1] > width:
+        half = (rows & 15) ^ (rows >> 4)
+        rows = half[:, ::2] | half[:, 1::2] << 4
+    return rows
 
 
 def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -243,15 +263,30 @@ def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.count_nonzero(x & 15, axis=1) + np.count_nonzero(x >> 4, axis=1)
 
 
+def by_width(sketches: list[bytes | None]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(places, rows) of the packed sketches of each size; size 0 are those that are missing."""
+    size = np.array([len(x) if x else 0 for x in sketches], np.int64)
+    return {int(w): (at := np.flatnonzero(size == w), np.frombuffer(b"".join(sketches[i] or b"" for i in at), np.uint8).reshape(len(at), int(w))) for w in np.unique(size)}
+
+
+def least_differing(a: list[bytes | None], b: list[bytes | None]) -> np.ndarray:
+    """Of each pair of sets, by their packed sketches: how many elements they differ in at least."""
+    out = np.zeros(len(a), np.int64)
+    for w, (at, rows) in by_width(a).items():
+        for v, (own, others) in by_width([b[i] for i in at]).items():
+            if w and v:
+                out[at[own]] = differing(folded(rows[own], min(w, v)), folded(others, min(w, v)))
+    return out
+
+
 def _likely(scheme: Scheme):
     """Of pairs rep, node, n and sketch of each: those that sizes and sketches don't exclude."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = (batch.column(i).to_numpy() for i in (2, 3))
-            (a, x), (b, y) = (unpacked(batch.column(i).to_pylist()) for i in (4, 5))
             ok = np.minimum(n, m) * scheme.den >= np.maximum(n, m) * scheme.num
-            ok &= x | y | (differing(a, b) <= scheme.differ(n + m))
+            ok &= least_differing(batch.column(4).to_pylist(), batch.column(5).to_pylist()) <= scheme.differ(n + m)
             yield batch.select([0, 1]).filter(pa.array(ok))
 
     return run
@@ -265,7 +300,7 @@ def _matcher(scheme: Scheme):
         for b in batches:
             rep, salt, node = (b.column(i).to_pylist() for i in range(3))
             at, out = 0, []
-            for _, sets in sets_of(b.select([2, 3]), scheme.size):
+            for sets in sets_of_packed(b.column(3), scheme.size):
                 for x in sets:
                     if rep[at] == node[at]:
                         now, own = (rep[at], salt[at]), x
@@ -285,15 +320,22 @@ def hopeful(scheme: Scheme, rows: list[tuple]) -> list[int]:
     side = np.array([r[0] for r in rows])
     label = np.unique(np.array([r[2] for r in rows]), return_inverse=True)[1]
     n = np.array([r[3] for r in rows])
-    marks, blind = unpacked([r[4] for r in rows])
+    sizes = by_width([r[4] for r in rows])
     found = np.zeros(len(rows), bool)
-    for i in np.flatnonzero(side != 1):
-        rest = np.flatnonzero((side != 0) & (label != label[i]))
-        rest = rest[np.minimum(n[rest], n[i]) * scheme.den >= np.maximum(n[rest], n[i]) * scheme.num]
-        if len(rest) and not blind[i]:
-            rest = rest[blind[rest] | (differing(marks[rest], marks[i]) <= scheme.differ(n[rest] + n[i]))]
-        found[rest] = True
-        found[i] |= len(rest) > 0
+    for w, (mine, marks) in sizes.items():
+        for v, (theirs, others) in sizes.items():
+            wide = min(w, v)
+            short, shorts = folded(marks, wide), folded(others, wide)
+            for k, i in enumerate(mine):
+                if side[i] == 1:
+                    continue
+                ok = (side[theirs] != 0) & (label[theirs] != label[i])
+                ok &= np.minimum(n[theirs], n[i]) * scheme.den >= np.maximum(n[theirs], n[i]) * scheme.num
+                at = np.flatnonzero(ok)
+                if wide:
+                    at = at[differing(shorts[at], short[k]) <= scheme.differ(n[theirs[at]] + n[i])]
+                found[theirs[at]] = True
+                found[i] |= len(at) > 0
     return [rows[i][1] for i in np.flatnonzero(found)]
 
 
@@ -338,7 +380,7 @@ def _comparer(scheme: Scheme):
         def rows() -> Iterator[tuple]:
             for b in batches:
                 keys = zip(*(b.column(i).to_pylist() for i in range(6)))
-                for _, sets in sets_of(b.select([5, 6]), scheme.size):
+                for sets in sets_of_packed(b.column(6), scheme.size):
                     for x in sets:
                         rep, i, j, side, label, node = next(keys)
                         yield (rep, i, j), (side, node, label, x)
@@ -444,10 +486,10 @@ def _labelled(first: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _texts(scheme: Scheme, own: DataFrame, nodes: DataFrame, first: DataFrame) -> DataFrame:
-    """(node, text): a text of each of the nodes, from the documents (id, text) that have its smallest id."""
+    """(node, text): a compressed text of each of the nodes, from the documents (id, text) that have its smallest id."""
     ids = saved(nodes.select("node").join(first, "node").select("node", F.col("first").alias("id")))
     wanted = passes(own, F.col("id"), key_filter(ids, F.col("id"), ID_BITS), ID_BITS, "wanted").where("wanted").select("id", "text")
-    return wanted.mapInArrow(_namer(scheme), "node long, text string").groupBy("node").agg(F.any_value("text").alias("text")).join(ids.select("node"), "node", "left_semi")
+    return wanted.mapInArrow(_namer(scheme), "node long, text binary").groupBy("node").agg(F.any_value("text").alias("text")).join(ids.select("node"), "node", "left_semi")
 
 
 def _tested(scheme: Scheme, texts: DataFrame) -> DataFrame:
