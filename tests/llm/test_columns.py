@@ -388,3 +388,20 @@ def test_token_ids_of_repeated_documents(spark):
     rows = sorted(dac.report(docs(spark, texts, ids)).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in rows] == [None, None, 7, 7, 7]
     assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows[:-1])]).tolist()
+
+
+def test_sketches_of_unlike_sizes_bound_the_difference():
+    rng = np.random.default_rng(4)
+    scheme = partenum.Scheme(4, 85, 100)
+    for n in (1, 60, 1020, 2040, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for d in (0, n // 12, n // 3, n):
+            b = np.unique(np.concatenate([a[d:], rng.integers(0, 1 << 63, d + n // 50).astype(np.uint64)]))
+            x, y = scheme.packed(a), scheme.packed(b)
+            true = len(np.setxor1d(a, b))
+            assert partenum.least_differing([x, y, x, None], [y, x, x, y]).tolist()[2:] == [0, 0]
+            least, most = partenum.least_differing([x], [y])[0], scheme.differ(len(a) + len(b))
+            assert least <= true
+            assert least > most or true < 1.5 * most + 8  # sets far apart are told apart at every size
+            rows = [(0, 1, 1, len(a), x), (1, 2, 2, len(b), y), (1, 3, 1, len(a), x)]
+            assert (partenum.hopeful(scheme, rows) == [1, 2]) >= scheme.similar(a, b)
