@@ -10,9 +10,11 @@ a document is drawn if a hash of its id lies below it, so the same documents
 are drawn on every machine.
 
 Cells are counted with partial aggregation, so one source may hold any share of
-the rows, and stay distributed: only the number of tokens, the largest error
-and sums over the grid of factors come to the driver.  Each round is
-checkpointed.
+the rows.  Up to CELLS of them are fitted and calibrated in one task (:func:`fitted`),
+as a plan for each step costs the driver more memory than they do anywhere.
+More of them stay distributed (:func:`rake`, :func:`calibrate`): only the number
+of tokens, the largest error and sums over the grid of factors come to the
+driver, and each round is checkpointed.
 
 Defined results: a null source, language or topic is a value of its own
 ("null"); null and empty texts have one token; a target value that no document
@@ -25,7 +27,10 @@ rows that repeat an id are drawn or left together.
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._native import saved, text_of
@@ -40,7 +45,7 @@ TARGETS: dict[str, dict[str, float] | float] = {"source": 0.5, "lang": 0.7, "top
 #: Topics by the first marker that a text has.
 MARKERS = (("list", " | "), ("license", "icense"), ("contact", "@"), ("shouting", "!!"))
 GRID = 64
-#: A table of at most so many cells is sent to all tasks.
+#: A table of at most so many cells is fitted in one task and sent to all.
 CELLS = 100_000
 
 
@@ -154,18 +159,132 @@ def calibrate(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
     return cells.withColumn("p", F.least(F.lit(1.0), high * density))
 
 
+class _Dimension:
+    """Of some cells in one task: each one's value in a dimension, by number, and the values' goals."""
+
+    def __init__(self, values: pa.Array, tokens: np.ndarray, total: float, target: dict[str, float] | float):
+        coded = values.dictionary_encode()
+        self.code, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        if isinstance(target, dict):
+            goal = np.array([target.get(v, 0.0) for v in names], float)
+        else:
+            goal = (np.bincount(self.code, tokens, len(names)) / total) ** float(target)
+        self.goal = goal / (goal.sum() or 1.0)
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.code, x, len(self.goal))
+
+    def attainable(self, cap: np.ndarray) -> None:
+        """As :func:`_attainable`."""
+        most, there = self.sums(cap), self.sums(np.ones(len(cap))) > 0
+        factor, before = 1.0, None
+        while factor != before:
+            whole = factor * self.goal >= most
+            given, rest = most[there & whole].sum(), self.goal[there & ~whole].sum()
+            before, factor = factor, max(factor, (1 - given) / rest) if rest else factor
+        self.goal = np.minimum(factor * self.goal, most)
+
+    def scaled(self, weight: np.ndarray, cap: np.ndarray | None) -> tuple[np.ndarray, float]:
+        """The weights brought to the goals; the largest relative error before.  As :func:`_factors`."""
+        own = self.goal[self.code]
+        if cap is None:
+            marginal = self.sums(weight)[self.code]
+            return weight * np.divide(own, marginal, out=np.zeros_like(own), where=marginal > 0), float(np.abs(marginal / own - 1).max())
+        n, ratio = len(self.goal), weight / cap
+        order = np.lexsort((-ratio, self.code))
+        code, w, c, r = self.code[order], weight[order], cap[order], ratio[order]
+        first = np.searchsorted(code, code)  # where the value's cells begin
+        last = np.searchsorted(code, code, "right")
+        before_c, before_w = (np.concatenate([[0.0], np.cumsum(x)]) for x in (c, w))
+        given, rest = before_c[:-1] - before_c[first], before_w[last] - before_w[:-1]
+        some = np.divide(self.goal[code] - given, rest, out=np.full(len(w), np.nan), where=(rest > 0) & (r > 0))
+        fits = np.flatnonzero(some * r <= 1)
+        factor = np.full(n, np.inf)
+        np.minimum.at(factor, code[r > 0], r[r > 0])
+        factor = 1 / factor  # all give all; 0 where there is no weight
+        at, k = np.unique(code[fits], return_index=True)
+        factor[at] = some[fits[k]]
+        goal = np.where(self.goal > 0, self.goal, np.nan)
+        error = np.nan_to_num(np.abs(self.sums(np.minimum(weight, cap)) / goal - 1)[self.code])
+        return weight * factor[self.code], float(error.max())
+
+
+def _weights(values: list[pa.Array], tokens: np.ndarray, targets: list[dict[str, float] | float], rounds: int, tolerance: float, budget: float) -> tuple[np.ndarray, float | None]:
+    """As :func:`rake`: the weights, and the largest error if it was not brought below the tolerance."""
+    total = tokens.sum() or 1.0
+    sides = [_Dimension(v, tokens, total, t) for v, t in zip(values, targets)]
+    used = np.all([d.goal[d.code] > 0 for d in sides], axis=0) & (tokens > 0)
+    out, tokens = np.zeros(len(tokens)), tokens[used]
+    for d in sides:
+        d.code = d.code[used]
+    most = min(budget * total, tokens.sum()) if budget else 0.0
+    weight, cap = tokens / total, tokens / most if most else None
+    if most:
+        for d in sides:
+            d.attainable(cap)
+    missed = None
+    for _ in range(rounds if len(tokens) else 0):
+        missed = 0.0
+        for d in sides:
+            weight, error = d.scaled(weight, cap)
+            missed = max(missed, error)
+        if missed < tolerance:
+            missed = None
+            break
+    out[used] = np.minimum(weight, cap) if most else weight
+    return out, missed
+
+
+def _shares(tokens: np.ndarray, weight: np.ndarray, budget: float) -> np.ndarray:
+    """As :func:`calibrate`."""
+    density = np.divide(weight, tokens, out=np.zeros(len(tokens)), where=tokens > 0)
+    if not (density > 0).any():
+        return np.zeros(len(tokens))
+    want = min(budget * tokens.sum(), tokens[density > 0].sum())
+    low, high = 0.0, 1.0 / density[density > 0].min()
+    for _ in range(6):
+        grid = [low + (high - low) * i / GRID for i in range(GRID + 1)]
+        at = next((i for i in range(1, GRID) if (tokens * np.minimum(1.0, grid[i] * density)).sum() >= want), GRID)
+        low, high = grid[at - 1], grid[at]
+    return np.minimum(1.0, high * density)
+
+
+def fitted(cells: DataFrame, targets: dict[str, dict[str, float] | float] = TARGETS, budget: float = BUDGET, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """``calibrate(rake(cells))`` in one task, for cells that fit there: the dimensions of ``targets`` and p.
+
+    Its column missed is the largest error if a target was missed, else null.
+    """
+    names, goals = list(targets), list(targets.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches, None) if (batches := [b for b in batches if b.num_rows]) else None
+        if rows is None:
+            return
+        values = [pa.array(rows[k].to_pylist(), pa.string()) for k in names]
+        tokens = rows["tokens"].to_numpy()
+        weight, missed = _weights(values, tokens, goals, rounds, tolerance, budget)
+        p = pa.array(_shares(tokens, weight, budget))
+        yield pa.RecordBatch.from_arrays([*values, p, pa.array([missed] * len(tokens), pa.float64())], names=[*names, "p", "missed"])
+
+    return cells.select(*names, "tokens").coalesce(1).mapInArrow(run, ", ".join(f"`{k}` string" for k in names) + ", p double, missed double")
+
+
 def mix(docs: DataFrame, targets: dict[str, dict[str, float] | float] = TARGETS, budget: float = BUDGET, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None) -> DataFrame:
     """Per row: id, row (all columns), source, lang, topic, tokens, p, drawn."""
     value = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
     rows = docs.select(F.col(doc_id).alias("id"), F.struct(*docs.columns).alias("row"), value(F.col(source)).alias("source"), value(F.col(lang)).alias("lang"), value(topic_of(text) if topic is None else topic).alias("topic"), tokens_of(text).alias("tokens"))
     cells = saved(rows.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")))
-    cells = saved(calibrate(rake(cells, targets, budget=budget), budget))
     # texts stay where they are: cells are few unless a dimension has very many values, which is counted
-    cells = cells.select("source", "lang", "topic", "p")
-    if cells.count() <= CELLS:
-        rows = rows.join(F.broadcast(cells), ["source", "lang", "topic"])
+    few = cells.count() <= CELLS
+    if few:
+        cells = saved(fitted(cells, targets, budget))
+        missed = cells.select("missed").first()
+        if missed and missed["missed"] is not None:
+            log.warning("raking: after %d rounds a target was still missed by %s of it", ROUNDS, missed["missed"])
     else:
-        rows = rows.join(cells, ["source", "lang", "topic"])
+        cells = saved(calibrate(rake(cells, targets, budget=budget), budget))
+    cells = cells.select("source", "lang", "topic", "p")
+    rows = rows.join(F.broadcast(cells) if few else cells, ["source", "lang", "topic"])
     spot = F.shiftrightunsigned(F.xxhash64(F.lit("draw"), F.col("id").cast("string")), 11) / F.lit(float(1 << 53))
     return rows.select("id", "row", "source", "lang", "topic", "tokens", "p", (spot < F.col("p")).alias("drawn"))
 

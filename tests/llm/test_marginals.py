@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from strandwise.llm import raking
@@ -44,3 +46,34 @@ def test_the_tolerance_is_relative(spark):
     targets = {"source": {"a": 0.5, "b": 0.498, "c": 0.002}, "lang": {"x": 0.5, "y": 0.5}}
     rows = raking.rake(frame, targets).collect()
     assert sum(r.weight for r in rows if r.source == "c") == pytest.approx(0.002, rel=6e-3)
+
+
+def test_one_task_fits_as_the_distributed_rounds_do(spark):
+    rng = random.Random(5)
+    cells = [(s, l, t, float(rng.choice([1, 3, 40, 900, 20_000]))) for s in "abcdefg" for l in ("x", "y", "null") for t in ("prose", "list", "") if rng.random() < 0.8]
+    frame = spark.createDataFrame(cells, "source string, lang string, topic string, tokens double").coalesce(1)
+    targets = {"source": 0.5, "lang": {"x": 0.7, "y": 0.3}, "topic": {"list": 0.001, "prose": 0.9, "unseen": 0.1}}
+    raked = raking.saved(raking.rake(frame, targets, rounds=2, budget=0.9))
+    want = {r[:3]: r.p for r in raking.calibrate(raked, 0.9).select("source", "lang", "topic", "p").collect()}
+    got = {r[:3]: r.p for r in raking.fitted(frame, targets, 0.9, rounds=2).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-6, abs=1e-9) for k in want)
+    assert raking.fitted(frame.where("false")).count() == 0
+
+
+def test_one_task_meets_targets_without_caps():
+    cells = [("a", "x", 500.0), ("a", "y", 400.0), ("b", "x", 50.0), ("b", "y", 300.0), ("c", "x", 90.0), ("c", "y", 1.0), ("d", "x", 7.0)]
+    source, lang, tokens = zip(*cells)
+    goals = [{"a": 0.5, "b": 0.498, "c": 0.002}, {"x": 0.5, "y": 0.5}]
+    weight, missed = raking._weights([pa.array(source), pa.array(lang)], np.array(tokens), goals, 8, 5e-3, 0.0)
+    assert missed is None and weight[6] == 0 and weight.sum() == pytest.approx(1)
+    assert weight[4:6].sum() == pytest.approx(0.002, rel=6e-3) and weight[:2].sum() == pytest.approx(0.5, rel=6e-3)
+
+
+def test_few_cells_take_few_jobs(spark):
+    # each job's threads and plan stay with the driver for a while: 178 of them took 500 MB
+    docs = spark.createDataFrame([(i, "word " * (i % 7), f"s{i % 5}", "en") for i in range(60)], "doc_id long, text string, source string, lang string")
+    last = lambda: max(spark.sparkContext.statusTracker().getJobIdsForGroup(None), default=0)
+    docs.count()
+    began = last()
+    raking.report(docs).collect()
+    assert last() - began <= 25
