@@ -12,7 +12,8 @@ hash, of another seed, is compared as well.  Only pieces of fixed small length
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -32,6 +33,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def released(run: Callable) -> Callable:
+    """A function over Arrow batches after whose end the worker gives freed memory back to the system.
+
+    Spark keeps idle workers for later stages; else each holds on to the most that it ever took.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+            trim(0)
+
+    return wrapped
+
+
 def stream(seed: int, n: int) -> np.ndarray:
     """n pseudo-random 64-bit values, the same on every machine."""
     return mix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed))

@@ -49,7 +49,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._native import dropped, key_filter, passes, saved, small_batches, written
-from ._text import SPACED, U64, mix, shingles, spans, text_bytes, words
+from ._text import SPACED, U64, mix, released, shingles, spans, text_bytes, words
 from .components import connected
 
 #: Parts of a partition, and how many of them a signature leaves out.
@@ -214,7 +214,7 @@ def _namer_and_counter(scheme: Scheme):
         if kind is not None:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([spots], pa.list_(pa.int64()))], names=names)
 
-    return run
+    return released(run)
 
 
 def _signer(scheme: Scheme):
@@ -230,7 +230,7 @@ def _signer(scheme: Scheme):
                     rows = np.repeat(np.array(node, np.int64), [len(x) for x in sigs])
                     yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.concatenate(sigs).view(np.int64))], names=["node", "sig"])
 
-    return run
+    return released(run)
 
 
 def _namer(scheme: Scheme):
@@ -246,7 +246,7 @@ def _namer(scheme: Scheme):
                 yield pa.RecordBatch.from_arrays([names, pa.array(texts, pa.binary())], names=["node", "text"])
                 at += len(ids)
 
-    return run
+    return released(run)
 
 
 def folded(rows: np.ndarray, width: int) -> np.ndarray:
@@ -289,7 +289,7 @@ def _likely(scheme: Scheme):
             ok &= least_differing(batch.column(4).to_pylist(), batch.column(5).to_pylist()) <= scheme.differ(n + m)
             yield batch.select([0, 1]).filter(pa.array(ok))
 
-    return run
+    return released(run)
 
 
 def _matcher(scheme: Scheme):
@@ -309,7 +309,7 @@ def _matcher(scheme: Scheme):
                     at += 1
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "similar"])
 
-    return run
+    return released(run)
 
 
 def hopeful(scheme: Scheme, rows: list[tuple]) -> list[int]:
@@ -370,7 +370,7 @@ def _sifter(scheme: Scheme):
             nodes = hopeful(scheme, [(r[3], r[5], r[4], r[6], r[7]) for r in own])
             yield pa.RecordBatch.from_arrays([pa.array([x] * len(nodes), t) for x, t in zip(key, (pa.int64(), pa.int32(), pa.int32()))] + [pa.array(nodes, pa.int64())], names=[*BLOCK_KEY, "node"])
 
-    return run
+    return released(run)
 
 
 def _comparer(scheme: Scheme):
@@ -389,7 +389,7 @@ def _comparer(scheme: Scheme):
             links = block_links(scheme, [r[1] for r in own])
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return run
+    return released(run)
 
 
 BLOCK_KEY = ["rep", "i", "j"]

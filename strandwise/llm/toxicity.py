@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._text import ALNUM, U64, Words, crc_fold, distinct_words, mix, per_document, piece_hash, spans, substring_hashes, text_bytes, words
+from ._text import ALNUM, U64, Words, crc_fold, distinct_words, mix, per_document, piece_hash, released, spans, substring_hashes, text_bytes, words
 
 #: At most so many labelled texts of each class are learned from.
 PER_CLASS = {0: 2000, 1: 1000}
@@ -175,7 +175,7 @@ def _scorer(model: Model):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(model, batch.column(1)))], names=["id", "score"])
 
-    return run
+    return released(run)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -206,7 +206,7 @@ def _trainer(sample: dict[int, int]):
         m = train(sorted((str(sample[i]), t) for i, t in rows))
         yield pa.RecordBatch.from_pydict({"fold": [m.fold.astype(np.float32).tobytes()], "known": [m.known.tobytes()], "bias": [m.bias], "empty": [m.empty]})
 
-    return run
+    return released(run)
 
 
 def _chosen(known: DataFrame, per_class: dict[int, int]) -> dict[int, int]:
@@ -232,4 +232,4 @@ def remove(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text"
         for batch in batches:
             yield batch.filter(pa.array(scores(model, batch.column(at)) < least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
