@@ -40,6 +40,17 @@ def test_prefix_support_query_joins_nothing(spark, rows, monkeypatch):
     assert not _joins(queries.prefix_support(spark, ""))
 
 
+def test_unique_out_joins_nothing(spark, rows):
+    found = correction.unique_out(_index(spark, rows), 2)
+    want = {}
+    for v in {v for (v, _), _ in rows}:
+        own = [(c, x) for (w, x), c in rows if w == v]
+        top, best = max(own)
+        want[v] = top >= 2 and all(c < 2 or x.startswith(best) or best.startswith(x) for c, x in own)
+    assert {r.v: r.unique for r in found.collect()} == want and {*want.values()} == {True, False}
+    assert not _joins(found)
+
+
 def test_saved_tables_have_small_row_groups(spark):
     table = storage.saved(spark.range(0, 1_500_000, 1, 1).select(F.sha2(F.col("id").cast("string"), 256).alias("x")))
     (file,) = table.inputFiles()
