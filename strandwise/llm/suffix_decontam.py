@@ -28,9 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._text import ALNUM, Words, per_document, spans, text_bytes, words
+from ._text import ALNUM, Words, per_document, released, spans, text_bytes, words
 
 SHARD_BYTES = 8 << 20
+#: A shard takes some twenty times its text; one for few benchmark words is of no more bytes than this, or so many a word.
+SMALL_BYTES, WORD_BYTES = 1 << 20, 8
 #: A benchmark beyond this many bytes is searched in blocks, one pass for each.
 BLOCK_BYTES = 16 << 20
 
@@ -61,6 +63,11 @@ def probe(rows: list[tuple], window: int) -> Probe:
     return Probe(w.hash, vocabulary, word, room, item, [str(i) for i, _ in rows], [(int(n), np.flatnonzero(fits & (length == n))) for n in np.unique(length)])
 
 
+def shard_size(p: Probe, most: int) -> int:
+    """Bytes of a shard: larger ones only save searches for the benchmark's words."""
+    return min(most, max(SMALL_BYTES, WORD_BYTES * len(p.hash)))
+
+
 class Shard:
     """A sparse suffix array: suffixes ranked by their first 1, 2, 4, ... words.
 
@@ -181,7 +188,7 @@ def _searcher(block: Probe, window: int, shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = text_bytes(batch.column(1))
-            for i, j in spans(off, shard_bytes):
+            for i, j in spans(off, shard_size(block, shard_bytes)):
                 w = words(data[off[i] : off[j]], off[i : j + 1] - off[i], ALNUM)
                 x = scan(w, block, window)
                 k = j - i
@@ -199,7 +206,7 @@ def _searcher(block: Probe, window: int, shard_bytes: int):
                     names=["id", "n_words", "hits", "items", "longest", "longest_at", "longest_item"],
                 )
 
-    return run
+    return released(run)
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,12 +292,12 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: s
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 data, off = text_bytes(batch.column(at))
-                for i, j in spans(off, shard_bytes):
+                for i, j in spans(off, shard_size(block, shard_bytes)):
                     w = words(data[off[i] : off[j]], off[i : j + 1] - off[i], ALNUM)
                     hit = per_document(scan(w, block, window)["hit"].astype(np.int64), w.doc_at)
                     yield batch.slice(i, j - i).filter(pa.array(hit == 0))
 
-        return run
+        return released(run)
 
     for rows in blocks_of(benchmark, item_id, item_text, block_bytes):
         docs = docs.mapInArrow(clean(probe(rows, window)), docs.schema)
