@@ -47,10 +47,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ._native import shared_folder
-from ._text import U64, segment_hashes, spans, text_bytes
+from ._text import U64, released, segment_hashes, spans, text_bytes
 
 END_ID = 2
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Texts that the tokenizer encodes at once; what it returns of each takes far more than the ids.
+AT_ONCE = 2000
 #: A segment is closed once it holds so many ids.
 SEGMENT = 1 << 18
 #: Distinct pieces that a process keeps the ids of.
@@ -184,7 +186,7 @@ class Encoder:
         self.flat = np.zeros(0, np.uint32)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, np.uint32) for i in range(0, len(texts), AT_ONCE) for e in self.tokenizer.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False)]
 
     def _learn(self, keys: np.ndarray, checks: np.ndarray, pieces: list[str]) -> None:
         found = self.whole(pieces)
@@ -279,7 +281,7 @@ def _writer(path: str, end_id: int, segment: int):
         if names:
             yield close()
 
-    return run
+    return released(run)
 
 
 def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = END_ID, segment: int = SEGMENT) -> None:
@@ -301,7 +303,7 @@ def _reader(bases: dict[int, int]):
                     names=["doc_id", "start", "ids"],
                 )
 
-    return run
+    return released(run)
 
 
 def read(segments: DataFrame) -> DataFrame:
