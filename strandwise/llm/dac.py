@@ -13,7 +13,8 @@ consecutive documents is one blob::
 
 The chunk of id i on a level lies at the number of ids before i that reach the
 level: a bitmap's rank, from the directory and one block's popcount.  So any id
-is read with a few byte accesses and nothing is decoded before it.  Blobs lie
+is read with a few byte accesses and nothing is decoded before it.  Ids in a
+row lie in a row on each level, so one rank a level finds them all.  Blobs lie
 uncompressed in Parquet files in the shared folder.
 
 Documents are dealt to shards by ranges of their ids; a shard writes segments
@@ -26,7 +27,10 @@ tokenizer's pattern always splits where ASCII white space follows another
 character, so a piece's ids don't depend on its surroundings.  Each process
 keeps the ids of pieces it has seen, at most CACHE of them, by a 64-bit hash of
 the piece; a second one of another seed has to agree, else the text is encoded
-whole.  Texts with other white space, or with the
+whole.  What is kept stays in place, behind a table of slots, so a slice costs
+what it has, not what is kept.  For the same reason that pieces stand alone, new
+ones go to the tokenizer in a row and are told apart by their tokens' bytes.
+Texts with other white space, or with the
 start of a special token, are encoded whole.
 
 Defined results: null and empty texts have the end id alone; null document ids
@@ -143,8 +147,21 @@ class Segment:
         partial = words[word] & ((U64(1) << (at & 63).astype(U64)) - U64(1))
         return ranks[block].astype(np.int64) + inside + np.bitwise_count(partial)
 
+    def span(self, start: int, stop: int) -> np.ndarray:
+        """The ids from one place up to another, with one rank on each level."""
+        out, who = np.zeros(stop - start, np.uint32), np.arange(stop - start)
+        for level, (chunks, bits, ranks) in enumerate(self.levels):
+            out[who] |= chunks[start:stop].astype(np.uint32) << np.uint32(8 * level)
+            goes_on = np.unpackbits(bits[start >> 3 : (stop + 7) >> 3], bitorder="little")[start & 7 :][: stop - start]
+            who = who[goes_on > 0]
+            if not len(who):
+                break
+            start = int(self._rank(bits, ranks, np.array([start]))[0])
+            stop = start + len(who)
+        return out
+
     def document(self, n: int) -> np.ndarray:
-        return self.access(np.arange(self.offsets[n], self.offsets[n + 1]))
+        return self.span(int(self.offsets[n]), int(self.offsets[n + 1]))
 
 
 # --- encoding ---------------------------------------------------------------
@@ -178,27 +195,81 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        #: Bytes of each token: its text has a letter for each.
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes[list(vocabulary.values())] = [len(x) for x in vocabulary]
         self.limit = cache
         self._forget()
 
-    def _forget(self) -> None:
-        self.keys, self.checks, self.at, self.size = np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+    def _forget(self, room: int = 0) -> None:
+        """Keeps nothing, with room for so many pieces; memory is taken as it is written."""
+        room = max(room, self.limit)
+        self.n = 0
+        self.slots = np.zeros(1 << (2 * room).bit_length(), np.int32)  # of each the piece's number from 1, or 0
+        self.keys, self.checks = np.empty(room + 1, U64), np.empty(room + 1, U64)
+        self.at = np.empty(room + 2, np.int64)  # piece n has the ids at[n] .. at[n + 1]
+        self.keys[0], self.checks[0], self.at[:2] = 0, 0, 0
+        self.flat = np.empty(1 << 16, np.uint32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys & U64(len(self.slots) - 1)).astype(np.int64)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's number, 0 if it isn't kept."""
+        slot = self._slot(keys)
+        number = self.slots[slot]
+        on = np.flatnonzero((number > 0) & (self.keys[number] != keys))
+        slot = slot[on]
+        while len(on):
+            slot = (slot + 1) & (len(self.slots) - 1)
+            number[on] = now = self.slots[slot]
+            left = (now > 0) & (self.keys[now] != keys[on])
+            on, slot = on[left], slot[left]
+        return number
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for i in range(0, len(texts), AT_ONCE) for e in self.tokenizer.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False)]
 
-    def _learn(self, keys: np.ndarray, checks: np.ndarray, pieces: list[str]) -> None:
-        found = self.whole(pieces)
-        if len(self.keys) + len(keys) > self.limit:
-            self._forget()
-        size = np.array([len(x) for x in found], np.int64)
-        at = len(self.flat) + np.cumsum(size) - size
-        self.flat = np.concatenate([self.flat, *found])
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys)
-        self.keys, self.checks = keys[order], np.concatenate([self.checks, checks])[order]
-        self.at, self.size = np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+    def _each(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after the other, and how many each has."""
+        found = self.whole([x.decode() for x in pieces])
+        return np.concatenate(found), np.array([len(x) for x in found], np.int64)
+
+    def _row(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same from one text, for pieces that begin with white space and end with another character."""
+        (ids,) = self.whole([b"".join(pieces).decode()])
+        ends, done = np.cumsum([len(x) for x in pieces]), np.cumsum(self.bytes[ids])
+        last = np.minimum(np.searchsorted(done, ends), len(done) - 1)
+        if done[-1] != ends[-1] or (done[last] != ends).any():  # of a tokenizer whose tokens aren't bytes
+            return self._each(pieces)
+        return ids, np.diff(last + 1, prepend=0)
+
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, raw: bytes, start: np.ndarray, stop: np.ndarray) -> None:
+        """Keeps pieces of different keys that it doesn't have; there is room for them."""
+        data = np.frombuffer(raw, np.uint8)
+        alone = ~_SPACE[data[start]] | _SPACE[data[stop - 1]]
+        order, rows = np.argsort(alone, kind="stable"), len(keys) - int(alone.sum())
+        pieces = [raw[x:y] for x, y in zip(start[order].tolist(), stop[order].tolist())]
+        found = [self._row(pieces[i : min(rows, i + AT_ONCE)]) for i in range(0, rows, AT_ONCE)]
+        if rows < len(pieces):
+            found.append(self._each(pieces[rows:]))
+        ids, size = (np.concatenate(x) for x in zip(*found))
+        begin, first = int(self.at[self.n + 1]), self.n + 1
+        end, self.n = begin + len(ids), self.n + len(keys)
+        if end > len(self.flat):
+            grown = np.empty(max(2 * begin, end), np.uint32)
+            grown[:begin] = self.flat[:begin]
+            self.flat = grown
+        self.flat[begin:end] = ids
+        self.keys[first : self.n + 1], self.checks[first : self.n + 1] = keys[order], checks[order]
+        self.at[first + 1 : self.n + 2] = begin + np.cumsum(size)
+        number, slot = np.arange(first, self.n + 1, dtype=np.int32), self._slot(keys[order])
+        while len(number):
+            free = self.slots[slot] == 0
+            self.slots[slot[free]] = number[free]  # of pieces that meet in a slot one stays
+            left = self.slots[slot] != number
+            number, slot = number[left], (slot[left] + 1) & (len(self.slots) - 1)
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
         """The ids of each document's text."""
@@ -215,23 +286,21 @@ class Encoder:
         piece, check = segment_hashes(data, bounds), segment_hashes(data, bounds, 1)
         first = np.searchsorted(bounds, off)
         use = np.repeat(~odd, np.diff(first))
-        keys, place, number = np.unique(piece[use], return_index=True, return_inverse=True)
-        place = np.flatnonzero(use)[place]
-        if len(self.keys):
-            near = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            new = self.keys[near] != keys
-        else:
-            new = np.ones(len(keys), bool)
-        if new.any():
-            if len(self.keys) + new.sum() > self.limit:
-                self._forget()
-                new[:] = True
-            raw = data.tobytes()
-            self._learn(keys[new], check[place[new]], [raw[bounds[p] : bounds[p + 1]].decode() for p in place[new]])
-        entry = np.searchsorted(self.keys, keys)[number]
-        differs = np.flatnonzero(use)[self.checks[entry] != check[use]]
+        used = np.flatnonzero(use)
+        entry = self._find(piece[used])
+        new = np.flatnonzero(entry == 0)
+        if len(new):
+            keys, place = np.unique(piece[used[new]], return_index=True)
+            if self.n + len(keys) > self.limit:
+                keys, place = np.unique(piece[used], return_index=True)
+                self._forget(len(keys))
+                new = np.arange(len(used))
+            place = used[new[place]]
+            self._learn(keys, check[place], data.tobytes(), bounds[place], bounds[place + 1])
+            entry[new] = self._find(piece[used[new]])
+        differs = used[self.checks[entry] != check[used]]
         odd[np.searchsorted(first, differs, "right") - 1] = True
-        size = self.size[entry]
+        size = self.at[entry + 1] - self.at[entry]
         stop = np.cumsum(size)
         flat = self.flat[np.arange(stop[-1] if len(stop) else 0) + np.repeat(self.at[entry] - stop + size, size)]
         stop = np.concatenate([[0], stop])
@@ -298,10 +367,9 @@ def _reader(bases: dict[int, int]):
         for batch in batches:
             for shard, before, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 s = Segment(blob)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(s.doc_ids, pa.int64()), pa.array(bases[shard] + before + s.offsets[:-1]), pa.array([s.document(n).astype("<u4").tobytes() for n in range(len(s.doc_ids))], pa.binary())],
-                    names=["doc_id", "start", "ids"],
-                )
+                ids = s.span(0, s.n_tokens).astype("<u4", copy=False)
+                packed = pa.Array.from_buffers(pa.binary(), len(s.doc_ids), [None, pa.array(4 * s.offsets, pa.int32()).buffers()[1], pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, pa.int64()), pa.array(bases[shard] + before + s.offsets[:-1]), packed], names=["doc_id", "start", "ids"])
 
     return released(run)
 
