@@ -8,6 +8,10 @@ and softmax are trained jointly in numpy on a bounded sample of labelled texts.
 Vectors sit in hashed buckets, so an unseen misspelling shares most of its
 n-grams' vectors with the word it is made from.
 
+A sample's buckets and weights are held as two plain arrays (8 bytes a pair),
+and slices, batches and matrices of n-grams are small: an executor's memory is
+mostly the JVM's, and Python workers get what is left.
+
 Scoring folds the softmax into one number per bucket, so each distinct word of
 a slice costs one pass over its n-grams.  There is no shuffle but that of ids
 and labels in choosing the sample; the model's size is fixed.
@@ -27,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ._native import bounded_batches
 from ._text import ALNUM, U64, Words, crc_fold, distinct_words, mix, per_document, piece_hash, released, spans, substring_hashes, text_bytes, words
 
 #: At most so many labelled texts of each class are learned from.
@@ -41,8 +46,9 @@ PRIOR = 10.0
 STEPS, EPOCHS, BATCH, RATE, DECAY, SCALE = 100, 8, 64, 0.1, 1e-4, 30.0
 #: Longer words, marks included, are cut into parts of so many bytes that overlap by all but one byte of the longest n-gram.
 LONG = 64
-SLICE_BYTES = 4 << 20
-CHUNK = 20_000
+SLICE_BYTES, BAG_BYTES = 1 << 20, 1 << 18
+#: Buckets of so many n-grams are held as one matrix at most.
+CELLS = 1 << 18
 
 
 class Model(NamedTuple):
@@ -67,8 +73,9 @@ def grams(data: np.ndarray, w: Words, place: np.ndarray) -> Iterator[tuple[np.nd
     for k in np.unique(key):
         n, head = int(k) // 2, bool(k % 2)
         same = np.flatnonzero(key == k)
-        for cut in range(0, len(same), CHUNK):
-            some = same[cut : cut + CHUNK]
+        chunk = CELLS // (n * len(GRAMS))
+        for cut in range(0, len(same), chunk):
+            some = same[cut : cut + chunk]
             own = owner[some]
             where = w.start[place[own]][:, None] + (at[some] - 1)[:, None] + np.arange(n)
             rows = ALNUM.lower[data[np.clip(where, 0, len(data) - 1)]]
@@ -83,53 +90,70 @@ def grams(data: np.ndarray, w: Words, place: np.ndarray) -> Iterator[tuple[np.nd
                 yield own, (np.column_stack(out) >> U64(40)).astype(np.int64) & (BUCKETS - 1)
 
 
-def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text: its buckets and their weights in the text's mean."""
-    out = []
+def bags(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Some texts at a time, in their order: how many buckets each has, these, and their weights in the text's mean."""
     data, off = text_bytes(pa.array(texts, pa.large_string()))
-    for i, j in spans(off, SLICE_BYTES // 8):
+    for i, j in spans(off, BAG_BYTES):
         mine = data[off[i] : off[j]]
         w = words(mine, off[i : j + 1] - off[i], ALNUM)
         place, number = distinct_words(w)
         rows: list = [[] for _ in place]
         for some, buckets in grams(mine, w, place):
-            for k, row in zip(some, buckets):
+            for k, row in zip(some, buckets.astype(np.int32)):
                 rows[k].append(row)
         rows = [np.concatenate(x) for x in rows]
+        found, weights = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
+        size = np.zeros(j - i, np.int64)
         for d in range(j - i):
             own, times = np.unique(number[w.doc_at[d] : w.doc_at[d + 1]], return_counts=True)
             if not len(own):
-                out.append((np.zeros(0, np.int32), np.zeros(0, np.float32)))
                 continue
             at = np.concatenate([rows[k] for k in own])
             weight = np.concatenate([np.full(len(rows[k]), t / len(rows[k])) for k, t in zip(own, times)]) / times.sum()
             buckets, where = np.unique(at, return_inverse=True)
-            out.append((buckets.astype(np.int32), np.bincount(where, weight).astype(np.float32)))
-    return out
+            size[d] = len(buckets)
+            found.append(buckets)
+            weights.append(np.bincount(where, weight).astype(np.float32))
+        yield size, np.concatenate(found), np.concatenate(weights)
+
+
+def learnable(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which buckets are learned; and of each text the numbers of these and their weights, text d's from off[d] to off[d + 1]."""
+    seen, parts = np.zeros(BUCKETS, np.int32), []
+    for size, buckets, weight in bags(texts):
+        seen += np.bincount(buckets, minlength=BUCKETS).astype(np.int32)  # a text has a bucket once
+        parts.append((size, buckets, weight))
+    known = seen >= IN_TEXTS
+    number = (np.cumsum(known) - 1).astype(np.int32)
+    total = int(seen[known].sum())
+    at, x, sizes, n = np.empty(total, np.int32), np.empty(total, np.float32), [np.zeros(1, np.int64)], 0
+    parts.reverse()
+    while parts:  # each goes as soon as it is copied
+        size, buckets, weight = parts.pop()
+        keep = known[buckets]
+        many = int(keep.sum())
+        at[n : n + many], x[n : n + many] = number[buckets[keep]], weight[keep]
+        n += many
+        sizes.append(per_document(keep.astype(np.int64), np.concatenate([[0], np.cumsum(size)])))
+    return known, at, x, np.cumsum(np.concatenate(sizes))
 
 
 def train(sample: list[tuple[str, str]], steps: int = STEPS, epochs: int = EPOCHS, seed: int = 7) -> Model:
     label = np.array([int(x) for x, _ in sample])
     if len(set(label.tolist())) < 2:
         return Model(np.zeros(BUCKETS), np.zeros(BUCKETS, bool), 0.0, True)
-    texts = bags([t for _, t in sample])
-    seen = np.zeros(BUCKETS, np.int64)
-    for buckets, _ in texts:
-        seen[buckets] += 1
-    known = seen >= IN_TEXTS
-    number = np.cumsum(known) - 1
-    texts = [(number[b[known[b]]], x[known[b]]) for b, x in texts]
+    known, place, weight, off = learnable([t for _, t in sample])
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (int(known.sum()), WIDTH))
     head, bias = rng.normal(0, 0.1, (WIDTH, 2)), np.zeros(2)
     sums = [np.full_like(x, 1e-8) for x in (vectors, head, bias)]
-    for _ in range(max(epochs, -(-steps * BATCH // len(texts)))):
-        order = rng.permutation(len(texts))
+    for _ in range(max(epochs, -(-steps * BATCH // len(sample)))):
+        order = rng.permutation(len(sample))
         for cut in range(0, len(order), BATCH):
             pick = order[cut : cut + BATCH]
-            size = np.array([len(texts[i][0]) for i in pick])
-            at = np.concatenate([texts[i][0] for i in pick])
-            x = np.concatenate([texts[i][1] for i in pick])
+            size = off[pick + 1] - off[pick]
+            at = np.concatenate([place[off[i] : off[i + 1]] for i in pick])
+            x = np.concatenate([weight[off[i] : off[i + 1]] for i in pick])
             doc = np.repeat(np.arange(len(pick)), size)
             mean = np.column_stack([np.bincount(doc, x * vectors[at, k], minlength=len(pick)) for k in range(WIDTH)])
             z = SCALE * mean @ head + bias
@@ -165,7 +189,8 @@ def scores(model: Model, texts: pa.Array) -> np.ndarray:
             count += np.bincount(some, minlength=len(place)) * buckets.shape[1]
         of_word /= np.maximum(count, 1)
         many = np.diff(w.doc_at)
-        odds = per_document(of_word[number], w.doc_at) / np.maximum(many, 1) + model.bias
+        # summed for each text alone, so that its score is the same whatever shares its slice
+        odds = np.bincount(np.repeat(np.arange(j - i), many), of_word[number], minlength=j - i) / np.maximum(many, 1) + model.bias
         out.append(np.zeros(j - i) if model.empty else 1 / (1 + np.exp(-np.clip(odds, -500, 500))))
     return np.concatenate(out)
 
@@ -181,6 +206,7 @@ def _scorer(model: Model):
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: id and the probability of the toxic class."""
     own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    bounded_batches(docs.sparkSession)
     return own.mapInArrow(_scorer(model), f"id {own.schema['id'].dataType.simpleString()}, score double")
 
 
@@ -232,4 +258,5 @@ def remove(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text"
         for batch in batches:
             yield batch.filter(pa.array(scores(model, batch.column(at)) < least))
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(released(run), docs.schema)
